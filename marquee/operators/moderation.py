@@ -90,7 +90,7 @@ def approval_decisions(listings: DataFrame, approvals: DataFrame) -> DataFrame:
     reason = F.when(F.col("_id").isNull(), "missing row").when(
         F.col("whole_series") & (F.col("series_key") == ""), "title has no series key"
     )
-    return rows.drop("_id").withColumn("reason", reason).withColumn("accepted", F.col("reason").isNull())
+    return rows.withColumn("reason", reason).withColumn("accepted", F.col("reason").isNull()).drop("_id")
 
 
 def apply_approvals(listings: DataFrame, approvals: DataFrame, as_of: dt.date) -> DataFrame:
@@ -102,8 +102,9 @@ def apply_approvals(listings: DataFrame, approvals: DataFrame, as_of: dt.date) -
     one = ok.where(~F.col("whole_series")).groupBy("event_id").agg(
         F.max_by("approve", "decided_at").alias("_one"), F.max("decided_at").alias("_one_at")
     )
+    newest = F.struct("decided_at", "event_id")
     many = ok.where("whole_series").groupBy("venue_id", F.col("series_key").alias("_key")).agg(
-        F.max_by("approve", "decided_at").alias("_many"), F.max("decided_at").alias("_many_at")
+        F.max_by("approve", newest).alias("_many"), F.max("decided_at").alias("_many_at")
     )
     rows = listings.withColumn("_key", series_key("name"))
     rows = rows.join(one, rows["id"] == one["event_id"], "left").join(many, ["venue_id", "_key"], "left")
@@ -120,15 +121,16 @@ def series_decisions(listings: DataFrame, requests: DataFrame) -> DataFrame:
     samples = listings.select(F.col("id").alias("_id"), "venue_id", "name", series_key("name").alias("normalized_name"))
     rows = requests.join(samples, requests["event_id"] == samples["_id"], "left")
     reason = F.when(F.col("_id").isNull(), "missing row").when(F.col("normalized_name") == "", "title has no series key")
-    return rows.drop("_id").withColumn("reason", reason)
+    return rows.withColumn("reason", reason).drop("_id")
 
 
 def upsert_overrides(overrides: DataFrame, listings: DataFrame, requests: DataFrame) -> DataFrame:
     """Series overrides after the requests; one row per venue and key, the latest request wins."""
     keys = ["venue_id", "normalized_name"]
+    order = F.struct("decided_at", "event_id")
     newest = series_decisions(listings, requests).where(F.col("reason").isNull()).groupBy(*keys).agg(
-        F.max_by("is_live_music", "decided_at").alias("_live"), F.max_by("note", "decided_at").alias("_note"),
-        F.max_by("name", "decided_at").alias("_shown"), F.max("decided_at").alias("_when"),
+        F.max_by("is_live_music", order).alias("_live"), F.max_by("note", order).alias("_note"),
+        F.max_by("name", order).alias("_shown"), F.max("decided_at").alias("_when"),
     )
     old = overrides.select("id", *keys, "display_name", "is_live_music", "note", "created_at")
     new_id = F.xxhash64(*keys)
