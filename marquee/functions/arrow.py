@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import as_col
+from .text import as_col, similarity_form
 
 # Executors receive these helpers with the task, so they need no installed copy.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -58,6 +58,23 @@ def ratio(a: str, b: str) -> float:
     return SequenceMatcher(None, a, b).ratio()
 
 
+@F.pandas_udf(T.DoubleType())
+def _ratio_batch(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([ratio(x, y) if isinstance(x, str) and isinstance(y, str) else None for x, y in zip(a, b)], dtype=float)
+
+
+def title_similarity(a: Column | str, b: Column | str) -> Column:
+    """0 when either title normalises to nothing, 1 when both are equal, else their ratio.
+
+    Only pairs that need the ratio carry text to Python.
+    """
+    x, y = similarity_form(a), similarity_form(b)
+    open_pair = (x != "") & (y != "") & (x != y)
+    return F.when((x == "") | (y == ""), 0.0).when(x == y, 1.0).otherwise(
+        _ratio_batch(F.when(open_pair, x), F.when(open_pair, y))
+    )
+
+
 class _Paragraphs(HTMLParser):
     """Collects the text of ``<p>`` elements, and the whole text as a fallback."""
 

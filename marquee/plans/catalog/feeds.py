@@ -164,8 +164,8 @@ def _landed(t) -> DataFrame:
     pages = _jsonld_pages(t)
     parts = [
         cols("ticketmaster", _ticketing_pages(t)), cols("squarespace", _cms_feeds(t), F.col("site_url")), cols("venuepilot", _platform_results(t)),
-        cols("duke_bedework", _university_feeds(t, 0, t.listings())), cols("motorco", _script_pages(t)), cols("koka_booth", pages, F.col("url")),
-        cols("mec", pages, F.col("url")), cols("manual", pages, F.col("url")),
+        cols("duke_bedework", _university_feeds(t, 0, t.listings())), cols("motorco", _script_pages(t), F.concat(F.lit("https://cal.example/"), F.col("order_no").cast("string"))), cols("koka_booth", pages, F.col("url")),
+        cols("manual", pages, F.col("url")),
     ]
     out = parts[0]
     for p in parts[1:]:
@@ -250,7 +250,7 @@ ENTRIES = [
     q("landed_by_source", "S20", lambda t: registry.parse_landed(_landed(t), AS_OF).groupBy("source").agg(F.count(F.lit(1)).alias("listings"), F.min("date").alias("first_day")),
       f"""SELECT source, count(*) AS listings, min(date) AS first_day FROM (
       SELECT 'ticketmaster' AS source, date FROM (SELECT DISTINCT order_no, lower(name), date FROM listings)
-      UNION ALL SELECT unnest(['squarespace', 'venuepilot', 'duke_bedework', 'mec']), date FROM listings
+      UNION ALL SELECT unnest(['squarespace', 'venuepilot', 'duke_bedework']), date FROM listings
       UNION ALL SELECT 'motorco', date FROM (SELECT DISTINCT order_no, name, date, show_min FROM listings WHERE date >= '1998-06-01')
       UNION ALL SELECT 'koka_booth', date FROM listings WHERE status <> 'sold_out') GROUP BY 1"""),
     q("unreadable_sources", "S20", lambda t: registry.unreadable(_landed(t)).groupBy("source_kind").agg(F.count(F.lit(1)).alias("payloads")),

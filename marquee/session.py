@@ -23,6 +23,7 @@ def build_session(app: str = "marquee", master: str | None = None, partitions: i
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
     )
     if master:
         b = b.master(master).config("spark.driver.memory", "8g")
