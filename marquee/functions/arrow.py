@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import as_col, similarity_form
+from .text import as_col, blank_to_null, similarity_form, strip
 
 # Executors receive these helpers with the task, so they need no installed copy.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -156,9 +156,19 @@ def _html_batch(raw: pd.Series, title: pd.Series) -> pd.Series:
 
 
 def html_text(raw: Column | str, drop_title: Column | None = None, limit: int | None = None) -> Column:
-    """Column form of :func:`paragraphs_of`. Truncation happens in the JVM, after cleaning."""
-    title = F.lit(None).cast("string") if drop_title is None else drop_title
-    text = _html_batch(as_col(raw), title)
+    """Column form of :func:`paragraphs_of`. Truncation happens in the JVM, after cleaning.
+
+    Text without markup or entities needs no parser and stays in the JVM, unless a
+    repeated title has to be dropped.
+    """
+    source = as_col(raw)
+    if drop_title is None:
+        marked = source.contains("<") | source.contains("&")
+        plain = blank_to_null(strip(F.regexp_replace(source, "[ \\t\u00a0]+", " ")))
+        parsed = _html_batch(F.when(marked, source), F.lit(None).cast("string"))
+        text = F.when(marked, parsed).otherwise(plain)
+    else:
+        text = _html_batch(source, drop_title)
     return F.substring(text, 1, limit) if limit else text
 
 

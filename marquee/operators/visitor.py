@@ -103,11 +103,10 @@ def taste_matches(listings: DataFrame, artists: DataFrame) -> DataFrame:
     texts = _taste_texts(listings)
     names = artists.select("artist").where(F.length("artist") > 1).distinct()
     found = _taste_text_pairs(texts, names).select("id")
-    # A single flag: does the visitor have a long artist name at all?
-    any_long = names.agg(F.bool_or(F.length("artist") > 3).alias("any_long"))
-    blank = texts.where(F.col("title") == "").withColumn("_k", F.lit(True)).join(
-        any_long.withColumnRenamed("any_long", "_k"), "_k"
-    ).select("id")
+    # Titles without words match if there is any longer name at all: a semi join with at most one row.
+    zero = lambda c: F.pmod(F.xxhash64(c), F.lit(1)).alias("_zero")
+    longer = names.where(F.length("artist") > 3).select(zero("artist")).distinct()
+    blank = texts.where(F.col("title") == "").select("id", zero("id")).join(longer, "_zero", "left_semi").select("id")
     return found.unionByName(blank).distinct()
 
 

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import functions as F
 
 from ...functions.text import archive_form, session_markers, similarity_form
 from ...operators import archive, classify, display, duplicates, filters, linkage
 from ...plans.refresh import refresh
-from ...session import cut_lineage
+from ...session import cut_lineage, scratch_root
+from ...sources.sinks import current, publish
+from ...streaming.refresh_stream import start_refresh
 from .aggregates import STATIONS
 from .entry import q
 from .standin import AS_OF, KEY, NOW
@@ -69,13 +74,17 @@ MERGED = f"""
     FROM listings l JOIN ({LABELS}) c ON l.id = c.id) GROUP BY 1, 2, 3"""
 
 
+def _batch(t):
+    """The deduped batch, written once because the plan reads it several times."""
+    return cut_lineage(linkage.dedupe_batch(t.scraped()), "batch")
+
+
 def _plan(t):
-    batch = linkage.dedupe_batch(t.scraped())
-    return linkage.merge_plan(t.stored(), batch, AS_OF)
+    return linkage.merge_plan(t.stored(), _batch(t), AS_OF)
 
 
 def _applied(t):
-    batch = cut_lineage(linkage.dedupe_batch(t.scraped()), "batch")
+    batch = _batch(t)
     return linkage.apply_plan(t.stored(), batch, linkage.merge_plan(t.stored(), batch, AS_OF), NOW)
 
 
@@ -93,6 +102,24 @@ def _refreshed(t):
     return table.select("id", "venue_id", "name", "date", "status", "price_min", "hash", *kept)
 
 
+def _streamed(t):
+    """Stored rows as version 0, the batch landed as files, then the stream until all is consumed."""
+    root = os.path.join(scratch_root(t.spark), f"stream-{uuid.uuid4().hex}")
+    publish(t.stored(), f"{root}/table", 0)
+    landed = t.scraped()
+    landed.write.parquet(f"{root}/landing")
+    start_refresh(t.spark, f"{root}/landing", landed.schema, f"{root}/table", f"{root}/checkpoint", t.venues(), t.overrides(),
+                  lambda: NOW).awaitTermination()
+    return current(t.spark, f"{root}/table").select(*APPLIED)
+
+
+APPLIED = "id venue_id name artist date show_min ticket_url price_min status hash".split()
+APPLIED_SQL = """SELECT s.id, s.venue_id, s.name, s.artist, s.date, s.show_min, s.ticket_url, s.price_min, s.status, s.hash FROM stored s JOIN plan p ON s.id = p.id
+      WHERE p.action IN ('keep', 'orphan')
+      UNION ALL SELECT s.id, s.venue_id, n.name, coalesce(n.artist, s.artist), s.date, coalesce(n.show_min, s.show_min), coalesce(n.ticket_url, s.ticket_url),
+        n.price_min, n.status, n.hash FROM stored s JOIN plan p ON s.id = p.id JOIN deduped n ON n.pos = p.pos WHERE p.action = 'update'
+      UNION ALL SELECT n.hash, n.venue_id, n.name, n.artist, n.date, n.show_min, n.ticket_url, n.price_min, n.status, n.hash
+        FROM deduped n JOIN plan p ON n.pos = p.pos WHERE p.action = 'insert'"""
 NIGHTS = """SELECT venue_id, date, count(*) AS unfolded_rows, bool_and(approved_at IS NOT NULL) AS all_approved
   FROM folded WHERE duplicate_of_id IS NULL AND date >= '1998-06-01' GROUP BY 1, 2 HAVING count(*) > 1"""
 
@@ -112,20 +139,15 @@ ENTRIES = [
       count(*) FILTER (WHERE judged AND was <> now_live AND approved_at IS NOT NULL) AS unapproved FROM ({RECLASSIFIED})"""),
     q("deduped_batch", "P1", lambda t: linkage.dedupe_batch(t.scraped()).select("pos", "venue_id", "date", "external_id", "hash"),
       "SELECT pos, venue_id, date, external_id, hash FROM deduped"),
-    q("linked_rows", "J10 W2", lambda t: linkage.link(t.stored(), linkage.dedupe_batch(t.scraped())), "SELECT id, venue_id, pos, is_survivor FROM links"),
+    q("linked_rows", "J10 W2", lambda t: linkage.link(t.stored(), _batch(t)), "SELECT id, venue_id, pos, is_survivor FROM links"),
     q("merge_plan", "P2 P3 J11 U3", _plan, "SELECT venue_id, id, pos, action FROM plan"),
-    q("run_lossiness", "A15", lambda t: linkage.venue_lossiness(t.stored(), linkage.dedupe_batch(t.scraped()), AS_OF),
+    q("run_lossiness", "A15", lambda t: linkage.venue_lossiness(t.stored(), _batch(t), AS_OF),
       "SELECT venue_id, in_window, orphans, too_lossy FROM valve"),
     q("run_outcomes", "A16", lambda t: linkage.outcome_counts(_plan(t)),
       """SELECT venue_id, count(*) FILTER (WHERE action = 'insert') AS created, count(*) FILTER (WHERE action = 'update') AS updated,
       count(*) FILTER (WHERE action = 'superseded') AS merged, count(*) FILTER (WHERE action = 'expired') AS expired FROM plan GROUP BY 1"""),
-    q("applied_plan", "P4 S15", lambda t: _applied(t).select("id", "venue_id", "name", "artist", "date", "show_min", "ticket_url", "price_min", "status", "hash"),
-      """SELECT s.id, s.venue_id, s.name, s.artist, s.date, s.show_min, s.ticket_url, s.price_min, s.status, s.hash FROM stored s JOIN plan p ON s.id = p.id
-      WHERE p.action IN ('keep', 'orphan')
-      UNION ALL SELECT s.id, s.venue_id, n.name, coalesce(n.artist, s.artist), s.date, coalesce(n.show_min, s.show_min), coalesce(n.ticket_url, s.ticket_url),
-        n.price_min, n.status, n.hash FROM stored s JOIN plan p ON s.id = p.id JOIN deduped n ON n.pos = p.pos WHERE p.action = 'update'
-      UNION ALL SELECT n.hash, n.venue_id, n.name, n.artist, n.date, n.show_min, n.ticket_url, n.price_min, n.status, n.hash
-        FROM deduped n JOIN plan p ON n.pos = p.pos WHERE p.action = 'insert'"""),
+    q("applied_plan", "P4 S15", lambda t: _applied(t).select(*APPLIED), APPLIED_SQL),
+    q("streamed_refresh", "G1 S15", _streamed, APPLIED_SQL),
     q("refreshed_table", "P1 P2 P3 P4 P6b", _refreshed),
     q("crowded_nights", "A3", lambda t: duplicates.crowded_nights(t.folded()),
       "SELECT venue_id, date, count(*) AS rows FROM folded WHERE duplicate_of_id IS NULL GROUP BY 1, 2 HAVING count(*) > 1"),

@@ -184,7 +184,11 @@ ENTRIES = [
       FROM scraped_later JOIN ({MANUAL}) ON id = seq WHERE reasons = ''"""),
     q("checked_event_edits", "V2", lambda t: _joined(validation.check_event_edits(_patches(t), t.stored(), t.venues(), AS_OF)).select("event_id", "reasons"), EDITS),
     q("edited_events", "V2", lambda t: validation.apply_event_edits(
-        t.stored(), validation.check_event_edits(_patches(t), t.stored(), t.venues(), AS_OF)).select("id", "name", "date", "show_min", "genre", "hash")),
+        t.stored(), validation.check_event_edits(_patches(t), t.stored(), t.venues(), AS_OF)).select("id", "name", "date", "show_min", "genre", "hash"),
+      f"""SELECT id, CASE WHEN fine THEN new_name ELSE name END AS name, CASE WHEN fine THEN new_date ELSE date END AS date,
+      CASE WHEN fine AND subgenre IS NOT NULL AND image_url IS NOT NULL THEN 1290 ELSE show_min END AS show_min,
+      CASE WHEN fine AND subgenre IS NULL THEN 'jazz' ELSE genre END AS genre, CASE WHEN fine AND (subgenre IS NULL OR image_url IS NOT NULL) THEN probe ELSE hash END AS hash
+      FROM (SELECT p.*, reasons = '' AS fine FROM ({PATCHED}) p JOIN ({EDITS}) e ON p.id = e.event_id)"""),
     q("checked_event_deletes", "V3", lambda t: _joined(validation.check_event_deletes(
         t.scraped().select(F.col("id").alias("event_id")), t.stored())).drop("accepted"),
       """SELECT n.id AS event_id, CASE WHEN s.id IS NULL THEN 'no such event' WHEN NOT s.is_manually_created THEN 'not added by hand' ELSE '' END AS reasons,

@@ -35,14 +35,16 @@ def build_session(app: str = "marquee", master: str | None = None, partitions: i
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder for intermediate tables.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset (tests,
-    a laptop) a local folder is made, once per session.
+    A cluster names it in ``spark.checkpoint.dir``. Only a local session (tests, a
+    laptop) may leave that unset; it gets a temporary folder, once per session.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         root = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = root.get() if root.isDefined() else None
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="marquee-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
