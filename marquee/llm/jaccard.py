@@ -167,37 +167,154 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """doc_id, n (set size), node (its set; null if empty), sigs; ``row`` numbers the rows."""
-    rows = docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(_described, "doc_id long, n long, node long, sigs array<long>")
-    return cut_lineage(rows.withColumn("row", F.monotonically_increasing_id()), "gram-sets")
+    """doc_id, n (set size), node (its set; null if empty), sigs (of the first row of a node in its task)."""
+    rows = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
+    return cut_lineage(rows.mapInArrow(_described, "doc_id long, n long, node long, sigs array<long>"), "gram-sets")
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by sig: those of signatures that several rows have."""
-    sig, row = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    for b in (*batches, None) if False else _with_end(batches):
-        if b is not None:
-            sig = np.concatenate((sig, b.column("sig").to_numpy()))
-            row = np.concatenate((row, b.column("row").to_numpy()))
-            # the last run may go on: it waits, but never more of it than its first row and the newest
-            cut = int(np.searchsorted(sig[::-1] != sig[-1], True)) if len(sig) else 0
-            cut = len(sig) - cut
-            if cut == 0:
-                cut = len(sig) - 1
-                held_first = True
-            else:
-                held_first = False
-        else:
-            cut, held_first = len(sig), False
-        if held_first:
-            # one long run: give out all but its last row, which keeps the run known
-            yield pa.RecordBatch.from_arrays([pa.array(sig[:cut]), pa.array(row[:cut])], names=["sig", "row"])
-            sig, row = sig[cut:], row[cut:]
+    """From rows sorted by sig and node: each node after the first of its sig, with the first and the previous one.
+
+    Only the last row met is kept between batches, however long a run is.
+    """
+    sig = first = last = None
+    for b in batches:
+        s, v = b.column("sig").to_numpy(), b.column("node").to_numpy()
+        if not len(s):
             continue
-        same = np.zeros(cut, bool)
-        if cut > 1:
-            eq = sig[1:cut] == sig[: cut - 1]
-            same[1:] |= eq
-            same[:-1] |= eq
-        yield pa.RecordBatch.from_arrays([pa.array(sig[:cut][same]), pa.array(row[:cut][same])], names=["sig", "row"])
-        sig, row = sig[cut:], row[cut:]
+        start = np.concatenate(([sig is None or s[0] != sig], s[1:] != s[:-1]))
+        head = np.flatnonzero(start)
+        which = np.searchsorted(head, np.arange(len(s)), "right") - 1
+        firsts = np.where(which >= 0, v[head[which]] if len(head) else 0, first if first is not None else 0)
+        before = np.concatenate(([last if last is not None else 0], v[:-1]))
+        new = ~start & (v != before)
+        yield pa.RecordBatch.from_arrays([pa.array(x[new]) for x in (s, firsts, before, v)], names=["sig", "first", "prev", "node"])
+        sig, first, last = s[-1], firsts[-1], v[-1]
+
+
+def runs(book: DataFrame) -> DataFrame:
+    """sig, first, prev, node of every signature that several sets have."""
+    at = book.select(F.explode("sigs").alias("sig"), "node").repartition("sig").sortWithinPartitions("sig", "node")
+    return cut_lineage(at.mapInArrow(_runs, "sig long, first long, prev long, node long"), "gram-runs")
+
+
+def _bits(nodes: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (_mix(nodes.view(np.uint64) ^ U(0x5851F42D4C957F2D)) & U(FILTER_BITS - 1)).astype(np.int64)
+
+
+def sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, grams (sorted hashes as bytes), once for each of ``nodes``.
+
+    A bitmap of fixed size spares most other texts the shuffle; the join after it is exact.
+    """
+    spark = docs.sparkSession
+
+    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = np.unique(_bits(b.column("node").to_numpy()))
+            word, where = np.unique(at >> 6, return_index=True)
+            bits = np.bitwise_or.reduceat(np.left_shift(U(1), (at & 63).astype(np.uint64)), where) if len(at) else at.view(np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(bits.view(np.int64))], names=["word", "bits"])
+
+    found = nodes.mapInArrow(marks, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+    table = np.zeros(FILTER_BITS // 64, np.uint64)
+    table[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).view(np.uint64)
+    shared = spark.sparkContext.broadcast(table)
+
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = shared.value
+        seen: set[int] = set()
+        for b in batches:
+            out: dict[int, bytes] = {}
+            for g in gram_sets(_utf8(b.column("text"))):
+                node = _node(g)
+                at = int(_bits(np.array([node]))[0])
+                if len(g) and node not in seen and held[at >> 6] >> U(at & 63) & U(1):
+                    seen.add(node)
+                    out[node] = g.tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array(out.keys(), pa.int64()), pa.array(out.values(), pa.binary())], names=["node", "grams"])
+
+    every = docs.selectExpr("cast(text as string) text").mapInArrow(chosen, "node long, grams binary")
+    return cut_lineage(every.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "gram-columns")
+
+
+def _product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Accumulates the overlap of each pair and keeps the pairs that link."""
+    for b in batches:
+        keep = []
+        for x, y in zip(b.column("x"), b.column("y")):
+            x, y = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
+            if MOST * min(len(x), len(y)) < LEAST * max(len(x), len(y)):
+                keep.append(False)
+                continue
+            both = np.sort(np.concatenate((x, y)), kind="stable")       # two sorted runs: one merge
+            shared = int(np.count_nonzero(both[1:] == both[:-1]))
+            keep.append(MOST * shared >= LEAST * (len(x) + len(y) - shared))
+        yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def products(pairs: DataFrame, sets: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The pairs (a, b) of ``pairs`` that link; pairs under the bound of their sizes are dropped unread."""
+    small = pairs.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b")
+    small = small.where(F.least("na", "nb") * MOST >= F.greatest("na", "nb") * LEAST).select("a", "b")
+    wide = small.join(sets.toDF("b", "y"), "b").join(sets.toDF("a", "x"), "a").select("a", "b", "x", "y")
+    return cut_lineage(wide.mapInArrow(_product, "a long, b long"), "gram-links")
+
+
+def _pair(x: str, y: str) -> list:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+
+def node_components(docs: DataFrame, book: DataFrame) -> DataFrame:
+    """node, component: of the nodes that link with another one."""
+    met = runs(book)
+    sizes = cut_lineage(book.where("node is not null").groupBy("node").agg(F.first("n").alias("n")), "gram-sizes")
+    touched = met.select("node").unionByName(met.select(F.col("first").alias("node"))).distinct()
+    sets = sets_of(docs, touched)
+    # a run's first node, most shared blocks first: one likely partner of each node
+    likely = met.groupBy("node", "first").count().groupBy("node").agg(F.max_by("first", "count").alias("first"))
+    links = products(likely.select(*_pair("node", "first")).distinct(), sets, sizes)
+    tried = likely.select(*_pair("node", "first")).distinct()
+    # neighbours in a run that are still apart
+    apart = _apart(met.select(*_pair("node", "prev")).distinct().join(tried, ["a", "b"], "left_anti"), components(links))
+    links = cut_lineage(links.unionByName(products(apart, sets, sizes)), "gram-links")
+    found = components(links)
+    # what remains: all members of a run whose nodes are in several components
+    named = _members(met).join(found, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("c"))
+    mixed = named.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("sig")
+    rest = cut_lineage(named.join(mixed, "sig").join(sizes, "node"), "gram-mixed")
+    other = rest.select("sig", *(F.col(c).alias(c + "2") for c in ("node", "c", "n")))
+    near = (F.col("c") < F.col("c2")) & (F.least("n", "n2") * MOST >= F.greatest("n", "n2") * LEAST)
+    left = cut_lineage(rest.join(other, "sig").where(near).select(*_pair("node", "node2")).distinct(), "gram-rest")
+    if not left.isEmpty():
+        links = links.unionByName(products(left, sets, sizes))
+        found = components(links)
+    return found
+
+
+def _members(met: DataFrame) -> DataFrame:
+    return met.select("sig", "node").unionByName(met.where("first = prev").select("sig", F.col("first").alias("node"))).distinct()
+
+
+def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    ca, cb = found.toDF("a", "ca"), found.toDF("b", "cb")
+    both = pairs.join(ca, "a", "left").join(cb, "b", "left")
+    return both.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+
+
+def linked(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id: one row per row of ``docs``.
+
+    component_id is the smallest doc_id that links reach, the row's own included (null only
+    where all reached ids are null).
+    """
+    book = described(docs)
+    found = node_components(docs, book)
+    rows = book.select("doc_id", "n", "node").join(found, "node", "left")
+    rows = rows.withColumn("at", F.coalesce("component", "node"))
+    least = rows.where("at is not null").groupBy("at").agg(F.min("doc_id").alias("low"))
+    # blank rows have no node: they are spread by their ids
+    spread = F.when(F.col("at").isNull(), F.pmod(F.xxhash64("doc_id"), F.lit(1024))).otherwise(F.lit(0))
+    rows = rows.withColumn("spread", spread).join(least.withColumn("spread", F.lit(0)), ["at", "spread"], "left")
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("at").isNull(), F.col("doc_id")).otherwise(F.col("low")).alias("component_id"))

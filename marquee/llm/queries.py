@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing, rules, sharding
+from . import extract, jaccard, mixing, rules, sharding
 from .common import table
 
 SHARDS = 40
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.linked(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = rules.ledger(table(spark, sf_dir, "documents"))
     base, kept = rules.passes(rules.BASE), rules.passes(rules.CURRENT)
@@ -27,7 +31,11 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op4_quality_rules, op6_sharding, op9_source_mixing)}
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extracted(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op3_ngram_jaccard, op4_quality_rules, op6_sharding, op9_source_mixing, op10_html_extraction)}
 
 ORACLE = {
     "op4_quality_rules": "WITH " + rules.LEDGER_CTES.format(src="documents") + f"""
