@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import extract, jaccard, mixing, rules, sharding
+from . import extract, jaccard, mixing, rules, sharding, suffixes
 from .common import table
 
 SHARDS = 40
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digest(suffixes.repeats(table(spark, sf_dir, "documents")))
+
+
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.linked(table(spark, sf_dir, "documents"))
 
@@ -35,7 +39,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extracted(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op3_ngram_jaccard, op4_quality_rules, op6_sharding, op9_source_mixing, op10_html_extraction)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op3_ngram_jaccard, op4_quality_rules, op6_sharding, op9_source_mixing, op10_html_extraction)}
 
 ORACLE = {
     "op4_quality_rules": "WITH " + rules.LEDGER_CTES.format(src="documents") + f"""
