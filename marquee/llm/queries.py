@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import extract, jaccard, mixing, rules, sharding, suffixes
+from . import extract, jaccard, mixing, packing, rules, sharding, suffixes
 from .common import table
 
 SHARDS = 40
@@ -14,6 +14,12 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digest(suffixes.repeats(table(spark, sf_dir, "documents")))
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.linked(table(spark, sf_dir, "documents"))
 
@@ -39,7 +45,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extracted(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op3_ngram_jaccard, op4_quality_rules, op6_sharding, op9_source_mixing, op10_html_extraction)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_best_fit_packing, op3_ngram_jaccard, op4_quality_rules, op6_sharding, op9_source_mixing, op10_html_extraction)}
 
 ORACLE = {
     "op4_quality_rules": "WITH " + rules.LEDGER_CTES.format(src="documents") + f"""
