@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import extract, jaccard, mixing, packing, quality, rules, sharding, suffixes, toxicity
+from . import extract, jaccard, mixing, neighbours, packing, quality, rules, sharding, suffixes, toxicity
 from .common import table
 
 SHARDS = 40
@@ -45,6 +45,10 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -53,7 +57,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extracted(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_best_fit_packing, op3_ngram_jaccard, op4_quality_rules, op5_toxicity, op6_sharding, op7_quality_classifier, op9_source_mixing, op10_html_extraction)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_best_fit_packing, op3_ngram_jaccard, op4_quality_rules, op5_toxicity, op6_sharding, op7_quality_classifier, op8_nearest_neighbours, op9_source_mixing, op10_html_extraction)}
 
 ORACLE = {
     "op4_quality_rules": "WITH " + rules.LEDGER_CTES.format(src="documents") + f"""
