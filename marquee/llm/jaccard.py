@@ -25,7 +25,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from .common import cut_lineage
@@ -163,13 +163,17 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen.add(node)
         ends = np.concatenate(([0], np.cumsum([len(s) for s in sigs]))).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sigs) if sigs else np.zeros(0, np.int64)))
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), lists], names=["doc_id", "n", "node", "sigs"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), lists], names=["doc_id", "h", "n", "node", "sigs"])
+
+
+def _text_hash() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """doc_id, n (set size), node (its set; null if empty), sigs (of the first row of a node in its task)."""
-    rows = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
-    return cut_lineage(rows.mapInArrow(_described, "doc_id long, n long, node long, sigs array<long>"), "gram-sets")
+    """doc_id, h (of the text), n (set size), node (its set; null if empty), sigs (of the first row of a node in its task)."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _text_hash().alias("h"))
+    return cut_lineage(rows.mapInArrow(_described, "doc_id long, h long, n long, node long, sigs array<long>"), "gram-sets")
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,18 +307,42 @@ def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
     return both.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
+def _grouped(docs: DataFrame) -> DataFrame:
+    """doc_id, h, n and ``at``, the group of linked rows (null for an empty set)."""
+    book = described(docs)
+    rows = book.select("doc_id", "h", "n", "node").join(node_components(docs, book), "node", "left")
+    return rows.select("doc_id", "h", "n", F.coalesce("component", "node").alias("at"))
+
+
 def linked(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id: one row per row of ``docs``.
 
     component_id is the smallest doc_id that links reach, the row's own included (null only
     where all reached ids are null).
     """
-    book = described(docs)
-    found = node_components(docs, book)
-    rows = book.select("doc_id", "n", "node").join(found, "node", "left")
-    rows = rows.withColumn("at", F.coalesce("component", "node"))
+    rows = _grouped(docs)
     least = rows.where("at is not null").groupBy("at").agg(F.min("doc_id").alias("low"))
-    # blank rows have no node: they are spread by their ids
+    # blank rows have no group: they are spread by their ids
     spread = F.when(F.col("at").isNull(), F.pmod(F.xxhash64("doc_id"), F.lit(1024))).otherwise(F.lit(0))
     rows = rows.withColumn("spread", spread).join(least.withColumn("spread", F.lit(0)), ["at", "spread"], "left")
     return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("at").isNull(), F.col("doc_id")).otherwise(F.col("low")).alias("component_id"))
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` without those that link to one with a smaller id (null ids last), repeated rows once.
+
+    Rows with an empty set link with nothing and all stay.
+    """
+    rows = cut_lineage(_grouped(docs).where("at is not null").select("doc_id", "h", "at"), "gram-groups")
+    first = rows.groupBy("at").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")).alias("first"))
+    gone = rows.join(first, "at").where(~(F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.h") == F.col("h")))).select("doc_id", "h").distinct()
+    twice = rows.groupBy("doc_id", "h").count().where("count > 1").select("doc_id", "h")
+    out = _without(docs, gone, "left_anti")
+    if twice.isEmpty():
+        return out
+    return _without(out, twice, "left_anti").unionByName(_without(out, twice, "left_semi").dropDuplicates(["doc_id", "text"]))
+
+
+def _without(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    k = keys.toDF("gram_key_id", "gram_key_hash")
+    return docs.join(k, (_text_hash() == F.col("gram_key_hash")) & F.col("doc_id").cast("long").eqNullSafe(F.col("gram_key_id")), how)

@@ -25,15 +25,17 @@ BUCKETS = 4096
 SEED = "mix-1"
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size (words), key and bucket, and a tie of equal keys."""
+def sized(docs: DataFrame, carry: bool = False) -> DataFrame:
+    """doc_id, source, size (words), key and bucket; with ``carry`` also ``row``, the whole row."""
+    whole = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if carry else []
+    kept = ["row"] if carry else []
     kinds = F.size(F.array_distinct("w"))
     u = (digits53(F.lit(SEED), F.col("doc_id")) + F.lit(0.5)) / F.lit(float(1 << 52))
-    out = docs.select("doc_id", "source", words(text_of()).alias("w")).select("doc_id", "source", F.size("w").cast("long").alias("size"), kinds.alias("kinds"))
+    out = docs.select("doc_id", "source", words(text_of()).alias("w"), *whole).select("doc_id", "source", F.size("w").cast("long").alias("size"), kinds.alias("kinds"), *kept)
     # half the key, as weights are 0.5 to 1: then no bucket holds more than twice its even share
     # quality weight in [0.5, 1]: the share of words that are not repetitions
     weight = F.lit(0.5) + F.lit(0.5) * F.col("kinds") / F.greatest(F.col("size"), F.lit(1))
-    out = out.select("doc_id", "source", "size", (-F.ln(u) / weight).alias("key"))
+    out = out.select("doc_id", "source", "size", (-F.ln(u) / weight).alias("key"), *kept)
     return out.withColumn("bucket", F.least(F.lit(BUCKETS - 1), F.floor((1 - F.exp(-F.col("key") / 2)) * BUCKETS)).cast("int"))
 
 
@@ -60,9 +62,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return s.select("source", "source_size", F.least(F.col("cap"), F.coalesce(F.col("level") * F.col("weight"), F.col("cap"))).alias("target"))
 
 
-def mixed(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size, source_size, target and taken (words taken, repeats counted)."""
-    rows = cut_lineage(sized(docs), "mix-keys")
+def _goals(rows: DataFrame) -> DataFrame:
+    """A row a source: size, target, complete epochs, budget of the rest, and the bucket in which it ends."""
     per = cut_lineage(rows.groupBy("source", "bucket").agg(F.sum("size").alias("bytes")), "mix-buckets")
     goal = targets(per.groupBy("source").agg(F.sum("bytes").alias("source_size")))
     goal = goal.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
@@ -72,15 +73,31 @@ def mixed(docs: DataFrame) -> DataFrame:
     sums = per.join(goal, F.col("source").eqNullSafe(F.col("at_source"))).select("source", "bucket", "budget", "bytes", F.sum("bytes").over(run).alias("upto"))
     ends = sums.where("upto > budget").groupBy(F.col("source").alias("end_source")).agg(F.min(F.struct("bucket", (F.col("upto") - F.col("bytes")).alias("spent"))).alias("end"))
     goal = goal.join(ends, F.col("at_source").eqNullSafe(F.col("end_source")), "left")
-    goal = cut_lineage(goal.select("at_source", "source_size", "target", "epochs", "budget", F.col("end.bucket").alias("end_bucket"), F.col("end.spent").alias("spent")), "mix-ends")
+    return cut_lineage(goal.select("at_source", "source_size", "target", "epochs", "budget", F.col("end.bucket").alias("end_bucket"), F.col("end.spent").alias("spent")), "mix-ends")
+
+
+def _taken(rows: DataFrame, goal: DataFrame) -> DataFrame:
+    """``rows`` with source_size, target and copies."""
     both = rows.join(goal, rows["source"].eqNullSafe(F.col("at_source"))).drop("at_source")
     inside = Window.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     middle = both.where("bucket = end_bucket").withColumn("before", F.col("spent") + F.sum("size").over(inside) - F.col("size"))
     # the document in which the budget ends stays if that comes nearer to the target
     middle = middle.withColumn("extra", (F.col("before") + F.col("size") / 2 <= F.col("budget")).cast("long")).drop("before")
     outer = both.where("end_bucket IS NULL OR bucket <> end_bucket").withColumn("extra", F.coalesce(F.col("bucket") < F.col("end_bucket"), F.lit(False)).cast("long"))
-    out = middle.unionByName(outer)
-    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * (F.col("epochs") + F.col("extra"))).cast("long").alias("taken"), (F.col("epochs") + F.col("extra")).cast("long").alias("copies"))
+    return middle.unionByName(outer).withColumn("copies", (F.col("epochs") + F.col("extra")).cast("long"))
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken (words taken, repeats counted) and copies."""
+    rows = cut_lineage(sized(docs), "mix-keys")
+    out = _taken(rows, _goals(rows))
+    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+
+
+def resampled(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it. The keys are derived anew, so texts are not written on the way."""
+    out = _taken(sized(docs, carry=True), _goals(sized(docs)))
+    return out.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 #: DuckDB: the relation ``mixed`` over ``{src}`` (doc_id, text, source).

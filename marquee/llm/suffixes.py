@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import cut_lineage
 from .hashing import BASE, Prefixes, U, bitmap, mix
@@ -274,7 +274,11 @@ def _window_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def _texts(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """key and text of (about) the texts that ``keys`` names, once for each task."""
     may = bitmap(keys.select(F.xxhash64("key").alias("k")).distinct())
-    return _chosen(docs.select("text", F.xxhash64(F.substring(F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)), 1, 16)).alias("k")), may)
+    return _chosen(docs.select("text", F.xxhash64(_key()).alias("k")), may)
+
+
+def _key() -> Column:
+    return F.substring(F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)), 1, 16)
 
 
 def _chosen(docs: DataFrame, may) -> DataFrame:
@@ -319,8 +323,8 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def repeats(docs: DataFrame, label: str = "suffixes") -> DataFrame:
-    """doc_id, n_bytes, spans (removed runs of bytes: start, end), kept_sha256, key (of the text); a row per row of ``docs``."""
+def _decided(docs: DataFrame, label: str = "suffixes") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The book of all rows, the keys of texts that rows share, and spans and kept_sha256 of other texts that lose something."""
     rows = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
     book = cut_lineage(rows.mapInArrow(_described, _BOOK), f"{label}-stretches")
     copied = cut_lineage(book.where(f"n_bytes >= {LENGTH}").groupBy("key").count().where("count > 1").select("key", F.lit(True).alias("copied")), f"{label}-copied")
@@ -348,6 +352,12 @@ def repeats(docs: DataFrame, label: str = "suffixes") -> DataFrame:
     by_text = cut_lineage(spans.groupBy("key").agg(F.collect_list("span").alias("spans")), f"{label}-spans")
     kind = "key binary, spans array<struct<start: long, end: long>>, kept_sha256 string"
     changed = cut_lineage(_texts(rows, by_text).join(by_text, "key").mapInArrow(_removed, kind), f"{label}-changed")
+    return book, copied, changed
+
+
+def repeats(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, spans (removed runs of bytes: start, end), kept_sha256, key (of the text); a row per row of ``docs``."""
+    book, copied, changed = _decided(docs)
     # whole copies need no look at the text
     all_of = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))
     none = all_of.getItem(0)
@@ -363,3 +373,30 @@ def digest(found: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of what ``repeats`` gives."""
     size = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     return found.select("doc_id", "n_bytes", size.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
+def _trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The text without its spans. A character that a span cuts in two goes whole."""
+    for b in batches:
+        texts = []
+        for text, spans in zip(_utf8(b.column("text")), b.column("suffix_spans").to_pylist()):
+            at, kept = 0, []
+            for s in spans:
+                kept.append(text[at : s["start"]].decode("utf-8", "ignore"))
+                at = s["end"]
+            texts.append("".join(kept) + text[at:].decode("utf-8", "ignore"))
+        i = b.schema.get_field_index("text")
+        yield b.set_column(i, b.schema.field(i), pa.array(texts, b.schema.field(i).type)).drop_columns(["suffix_spans"])
+
+
+def cleaned(docs: DataFrame) -> DataFrame:
+    """``docs`` without the repeated bytes; n_chars, if there, is counted anew. Rows of which no word is left go."""
+    _, copied, changed = _decided(docs)
+    every = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.lit(1 << 62).alias("end")))
+    marks = changed.select(F.col("key").alias("suffix_key"), F.col("spans").alias("suffix_spans")).unionByName(copied.select(F.col("key").alias("suffix_key"), every.alias("suffix_spans")))
+    both = docs.join(marks, _key() == F.col("suffix_key"), "left").drop("suffix_key")
+    same = both.where("suffix_spans is null").drop("suffix_spans")
+    trimmed = both.where("suffix_spans is not null").mapInArrow(_trimmed, docs.schema).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    if "n_chars" in docs.columns:
+        trimmed = trimmed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return same.unionByName(trimmed)
