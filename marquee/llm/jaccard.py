@@ -1,16 +1,17 @@
 """N-gram Jaccard join: documents whose sets of word 4-grams overlap by 85 of 100.
 
-The document by n-gram incidence matrix is multiplied in blocks of n-grams. The columns of
-a size band are dealt into P blocks by hash; two sets of the band that may link differ in at
-most D < P n-grams, so at least one block agrees in whole (for sets of the band ``D = 3
-(|x| + |y|) / 37``, from 100 * I >= 85 * U). Equal blocks are found by one shuffle on their
-hashes; a frequent n-gram alone joins nothing, as a block holds about six. What agrees is a
-candidate; the product is accumulated exactly for candidates, and a pair below the bound
-derived from its sizes is discarded.
-
-Only links that can join components are multiplied: first each run of equal blocks against
-its smallest member and along its order, then every pair of a run whose members still
-belong to different components. Copies and sets that are equal are one node.
+The document by n-gram incidence matrix is multiplied in blocks of columns, each n-gram a
+column that Spark brings to one place by its hash. Columns are ordered by frequency, the rare
+ones first, and a row takes part only with its first 15 of 100: a linked row shares one of
+them, as the bound of their sizes says. So what many documents share (a passage, a line)
+joins nothing unless it is nearly all they have. Frequencies are counts of hashed n-grams over
+all rows in a fixed number of counters; they set the order only, and any order is right.
+
+Candidates are pairs that meet in a column; a pair is dropped where its places in the column
+leave less than its sizes require. The overlap of the others is accumulated exactly. Only
+links that can join components are multiplied: each row of a column with the column's first
+one and with its neighbour, then the pairs of a column whose rows still belong to different
+components. Copies and sets that are equal are one node.
 
 Defined results: a null or blank text has an empty set and links with nothing; a text of
 fewer than four words has one n-gram, itself; repeated rows and equal sets share a component;
@@ -21,7 +22,6 @@ are not read. Sets are compared by 64-bit hashes of n-grams, sets as a whole by
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +30,14 @@ from pyspark.sql.window import Window
 
 from .common import cut_lineage
 from .graph import components
+from .hashing import bitmap
 
 N = 4
 LEAST, MOST = 85, 100       # link: MOST * |x & y| >= LEAST * |x | y|
 CHUNK = 1 << 20             # bytes hashed at once
-FILTER_BITS = 1 << 26       # of the filter that picks candidate texts: 8 MB at most
+SMALLEST = 6                # smaller sets link with equal ones only
+COUNTERS = 1 << 21          # of frequencies: 8 MB, on the driver and each executor
+COUNTED = 1 << 12           # counters that travel as one row
 U = np.uint64
 _BASE = U(0x9E3779B97F4A7C15)
 
@@ -103,43 +106,53 @@ def _chunk_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
     return out
 
 
-@lru_cache
-def _bands() -> np.ndarray:
-    edges = [1]
-    while edges[-1] < 1 << 40:
-        edges.append(edges[-1] * MOST // LEAST + 1)
-    return np.array(edges)
+def _places(grams: np.ndarray) -> np.ndarray:
+    return (grams >> U(64 - COUNTERS.bit_length() + 1)).astype(np.int64)
 
 
-@lru_cache(4096)
-def _blocks(band: int) -> tuple[int, np.ndarray]:
-    """Most n-grams in which sets may differ at this band, and the first hash of each block."""
-    most = int(_bands()[band + 1]) - 1
-    differ = 2 * most * (MOST - LEAST) // (MOST + LEAST)
-    count = differ + 2 + differ // 32
-    return differ, np.array([-(-(i << 64) // count) for i in range(count)], np.uint64)
+def _tallies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The task's number of sets by counter, in blocks of counters."""
+    total = np.zeros(COUNTERS, np.int64)
+    seen: set[int] = set()
+    for b in batches:
+        for g in gram_sets(_utf8(b.column("text"))):
+            node = _node(g)
+            if node not in seen:
+                seen.add(node)
+                np.add.at(total, _places(g), 1)
+    blocks = total.astype(np.uint32).reshape(-1, COUNTED)
+    filled = np.flatnonzero(blocks.any(axis=1))
+    yield pa.RecordBatch.from_arrays([pa.array(filled), pa.array([blocks[i].tobytes() for i in filled], pa.binary())], names=["block", "counts"])
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: dict[int, np.ndarray] = {}
+    for b in batches:
+        for block, counts in zip(b.column("block").to_pylist(), b.column("counts")):
+            counts = np.frombuffer(counts.as_buffer(), np.uint32)
+            held[block] = np.minimum(held.get(block, np.uint64(0)) + counts.astype(np.uint64), U(0xFFFFFFFF))
+    yield pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.int64()), pa.array([c.astype(np.uint32).tobytes() for c in held.values()], pa.binary())], names=["block", "counts"])
+
 
+def frequencies(texts: DataFrame) -> np.ndarray:
+    """In how many sets the n-grams of each counter are, over all rows: COUNTERS numbers, whatever the input."""
+    kinds = "block long, counts binary"
+    found = texts.mapInArrow(_tallies, kinds).repartition("block").mapInArrow(_added, kinds).toPandas()
+    total = np.zeros((COUNTERS // COUNTED, COUNTED), np.uint32)
+    for block, counts in zip(found["block"], found["counts"]):
+        total[block] = np.frombuffer(counts, np.uint32)
+    return total.ravel()
 
-def signatures(grams: np.ndarray) -> np.ndarray:
-    """One hash for each non-empty block, at the set's own size band and the next."""
+
+def rarest(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The n-grams of a set that a linked one may meet first, in the order of frequency and hash."""
     n = len(grams)
-    if not n:
-        return np.zeros(0, np.uint64)
-    own = int(np.searchsorted(_bands(), n, "right")) - 1
-    out = []
-    with np.errstate(over="ignore"):
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_mix(grams + _BASE))))
-        for band in (own, own + 1):
-            differ, edges = _blocks(band)
-            if not differ:
-                continue        # only equal sets link, and those are one node
-            at = np.append(np.searchsorted(grams, edges), n)
-            block = np.flatnonzero(at[1:] > at[:-1])
-            if len(block) <= differ:    # the agreeing block could be an empty one
-                block = np.arange(len(edges))
-            held = sums[at[block + 1]] - sums[at[block]]
-            out.append(_mix(held ^ _mix((block.astype(np.uint64) << U(8)) + U(band))))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+    if n < SMALLEST:
+        return grams[:0]
+    order = (counts[_places(grams)].astype(np.uint64) << U(32)) | (_mix(grams) >> U(32))
+    length = n * (MOST - LEAST) // MOST + 1
+    first = np.argpartition(order, length - 1)[:length] if length < n else np.arange(n)
+    return grams[first[np.lexsort((grams[first], order[first]))]]
 
 
 def _node(grams: np.ndarray) -> int:
@@ -151,21 +164,6 @@ def _utf8(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: set[int] = set()      # a set that the task has met emits no blocks again
-    for b in batches:
-        nodes, sizes, sigs = [], [], []
-        for g in gram_sets(_utf8(b.column("text"))):
-            node = _node(g)
-            nodes.append(node if len(g) else None)
-            sizes.append(len(g))
-            sigs.append(np.zeros(0, np.int64) if node in seen else signatures(g).view(np.int64))
-            seen.add(node)
-        ends = np.concatenate(([0], np.cumsum([len(s) for s in sigs]))).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sigs) if sigs else np.zeros(0, np.int64)))
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), lists], names=["doc_id", "h", "n", "node", "sigs"])
-
-
 def _text_hash() -> Column:
     return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
@@ -173,38 +171,55 @@ def _text_hash() -> Column:
 def described(docs: DataFrame) -> DataFrame:
     """doc_id, h (of the text), n (set size), node (its set; null if empty), sigs (of the first row of a node in its task)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _text_hash().alias("h"))
-    return cut_lineage(rows.mapInArrow(_described, "doc_id long, h long, n long, node long, sigs array<long>"), "gram-sets")
+    counts = docs.sparkSession.sparkContext.broadcast(frequencies(rows.select("text")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()      # a set that the task has met emits nothing again
+        for b in batches:
+            nodes, sizes, sigs = [], [], []
+            for g in gram_sets(_utf8(b.column("text"))):
+                node = _node(g)
+                nodes.append(node if len(g) else None)
+                sizes.append(len(g))
+                sigs.append(np.zeros(0, np.int64) if node in seen else rarest(g, counts.value).view(np.int64))
+                seen.add(node)
+            ends = np.concatenate(([0], np.cumsum([len(s) for s in sigs]))).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sigs) if sigs else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), lists], names=["doc_id", "h", "n", "node", "sigs"])
+
+    return cut_lineage(rows.mapInArrow(run, "doc_id long, h long, n long, node long, sigs array<long>"), "gram-sets")
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by sig and node: each node after the first of its sig, with the first and the previous one.
+    """From rows sorted by sig, n and node: each set after the first of its sig, with the previous one.
 
-    Only the last row met is kept between batches, however long a run is.
+    ``first`` is the first set of the sig in the same band of sizes. Only the last row met is
+    kept between batches, however long a run is.
     """
-    sig = first = last = None
+    last: tuple | None = None       # sig, n, at, node, band, first
     for b in batches:
-        s, v = b.column("sig").to_numpy(), b.column("node").to_numpy()
+        s, n, at, v = (b.column(c).to_numpy() for c in ("sig", "n", "at", "node"))
         if not len(s):
             continue
-        start = np.concatenate(([sig is None or s[0] != sig], s[1:] != s[:-1]))
+        band = np.floor(np.log(n) / np.log(MOST / LEAST)).astype(np.int64)
+        if last:
+            s, n, at, v, band = (np.concatenate(([x], y)) for x, y in zip(last[:5], (s, n, at, v, band)))
+        start = np.concatenate(([True], (s[1:] != s[:-1]) | (band[1:] != band[:-1])))
         head = np.flatnonzero(start)
-        which = np.searchsorted(head, np.arange(len(s)), "right") - 1
-        firsts = np.where(which >= 0, v[head[which]] if len(head) else 0, first if first is not None else 0)
-        before = np.concatenate(([last if last is not None else 0], v[:-1]))
-        new = ~start & (v != before)
-        yield pa.RecordBatch.from_arrays([pa.array(x[new]) for x in (s, firsts, before, v)], names=["sig", "first", "prev", "node"])
-        sig, first, last = s[-1], firsts[-1], v[-1]
+        firsts = v[head[np.cumsum(start) - 1]]
+        if last:
+            firsts[: head[1] if len(head) > 1 else len(s)] = last[5]
+        new = np.flatnonzero((s[1:] == s[:-1]) & (v[1:] != v[:-1])) + 1
+        cols = (s[new], np.where(start[new], v[new - 1], firsts[new]), v[new - 1], n[new - 1], at[new - 1], v[new], n[new], at[new])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["sig", "first", "prev", "prev_n", "prev_at", "node", "n", "at"])
+        last = (s[-1], n[-1], at[-1], v[-1], band[-1], firsts[-1])
 
 
 def runs(book: DataFrame) -> DataFrame:
-    """sig, first, prev, node of every signature that several sets have."""
-    at = book.select(F.explode("sigs").alias("sig"), "node").repartition("sig").sortWithinPartitions("sig", "node")
-    return cut_lineage(at.mapInArrow(_runs, "sig long, first long, prev long, node long"), "gram-runs")
-
-
-def _bits(nodes: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return (_mix(nodes.view(np.uint64) ^ U(0x5851F42D4C957F2D)) & U(FILTER_BITS - 1)).astype(np.int64)
+    """The neighbours in every column of the incidence matrix that several sets have, as far as it is a rare one to them."""
+    at = book.select(F.posexplode("sigs").alias("at", "sig"), "node", F.col("n").cast("int").alias("n"))
+    at = at.select("sig", "n", "at", "node").repartition("sig").sortWithinPartitions("sig", "n", "node")
+    return cut_lineage(at.mapInArrow(_runs, "sig long, first long, prev long, prev_n int, prev_at int, node long, n int, at int"), "gram-runs")
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -212,29 +227,16 @@ def sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     A bitmap of fixed size spares most other texts the shuffle; the join after it is exact.
     """
-    spark = docs.sparkSession
-
-    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at = np.unique(_bits(b.column("node").to_numpy()))
-            word, where = np.unique(at >> 6, return_index=True)
-            bits = np.bitwise_or.reduceat(np.left_shift(U(1), (at & 63).astype(np.uint64)), where) if len(at) else at.view(np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(bits.view(np.int64))], names=["word", "bits"])
-
-    found = nodes.mapInArrow(marks, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
-    table = np.zeros(FILTER_BITS // 64, np.uint64)
-    table[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).view(np.uint64)
-    shared = spark.sparkContext.broadcast(table)
+    may_hold = bitmap(nodes)
 
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = shared.value
         seen: set[int] = set()
         for b in batches:
+            grams = [g for g in gram_sets(_utf8(b.column("text"))) if len(g)]
+            found = [_node(g) for g in grams]
             out: dict[int, bytes] = {}
-            for g in gram_sets(_utf8(b.column("text"))):
-                node = _node(g)
-                at = int(_bits(np.array([node]))[0])
-                if len(g) and node not in seen and held[at >> 6] >> U(at & 63) & U(1):
+            for g, node, may in zip(grams, found, may_hold(np.array(found, np.int64))):
+                if may and node not in seen:
                     seen.add(node)
                     out[node] = g.tobytes()
             yield pa.RecordBatch.from_arrays([pa.array(out.keys(), pa.int64()), pa.array(out.values(), pa.binary())], names=["node", "grams"])
@@ -274,7 +276,7 @@ def node_components(docs: DataFrame, book: DataFrame) -> DataFrame:
     """node, component: of the nodes that link with another one."""
     met = runs(book)
     sizes = cut_lineage(book.where("node is not null").groupBy("node").agg(F.first("n").alias("n")), "gram-sizes")
-    touched = met.select("node").unionByName(met.select(F.col("first").alias("node"))).distinct()
+    touched = met.select("node").unionByName(met.select(F.col("prev").alias("node"))).distinct()
     sets = sets_of(docs, touched)
     # a run's first node, most shared blocks first: one likely partner of each node
     likely = met.groupBy("node", "first").count().groupBy("node").agg(F.max_by("first", "count").alias("first"))
@@ -284,12 +286,14 @@ def node_components(docs: DataFrame, book: DataFrame) -> DataFrame:
     apart = _apart(met.select(*_pair("node", "prev")).distinct().join(tried, ["a", "b"], "left_anti"), components(links))
     links = cut_lineage(links.unionByName(products(apart, sets, sizes)), "gram-links")
     found = components(links)
-    # what remains: all members of a run whose nodes are in several components
-    named = _members(met).join(found, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("c"))
+    # what remains: all members of a column whose sets are in several components
+    named = _members(met).join(found, "node", "left").withColumn("c", F.coalesce("component", "node"))
     mixed = named.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("sig")
-    rest = cut_lineage(named.join(mixed, "sig").join(sizes, "node"), "gram-mixed")
-    other = rest.select("sig", *(F.col(c).alias(c + "2") for c in ("node", "c", "n")))
-    near = (F.col("c") < F.col("c2")) & (F.least("n", "n2") * MOST >= F.greatest("n", "n2") * LEAST)
+    rest = cut_lineage(named.join(mixed, "sig").select("sig", "node", "n", "at", "c"), "gram-mixed")
+    other = rest.select("sig", *(F.col(c).alias(c + "2") for c in ("node", "n", "at", "c")))
+    # if this is the first column that two sets share, no more than n - at of each can be shared
+    bound = LEAST * (F.col("n") + F.col("n2"))
+    near = (F.col("c") < F.col("c2")) & ((MOST + LEAST) * (F.col("n") - F.col("at")) >= bound) & ((MOST + LEAST) * (F.col("n2") - F.col("at2")) >= bound)
     left = cut_lineage(rest.join(other, "sig").where(near).select(*_pair("node", "node2")).distinct(), "gram-rest")
     if not left.isEmpty():
         links = links.unionByName(products(left, sets, sizes))
@@ -298,7 +302,7 @@ def node_components(docs: DataFrame, book: DataFrame) -> DataFrame:
 
 
 def _members(met: DataFrame) -> DataFrame:
-    return met.select("sig", "node").unionByName(met.where("first = prev").select("sig", F.col("first").alias("node"))).distinct()
+    return met.select("sig", "node", "n", "at").unionByName(met.select("sig", F.col("prev").alias("node"), F.col("prev_n").alias("n"), F.col("prev_at").alias("at"))).distinct()
 
 
 def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
