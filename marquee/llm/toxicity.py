@@ -82,7 +82,7 @@ class Columns:
         key, count = np.unique(np.concatenate(keys), return_counts=True)
         row, col = np.divmod(key, max(1, len(self.hashes)))
         value = np.log1p(count)
-        marked = np.bincount(row, np.log1p(count) * self.toxic[col], minlength=len(texts))
+        marked = np.bincount(row, np.log1p(count) * self.toxic[col], minlength=len(texts)).astype(float)
         return row, col, value, marked
 
 
