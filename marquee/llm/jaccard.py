@@ -196,7 +196,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     ``first`` is the first set of the sig in the same band of sizes. Only the last row met is
     kept between batches, however long a run is.
     """
-    last: tuple | None = None       # sig, n, at, node, band, first
+    last: tuple | None = None       # sig, n, at, node, band; n, at and node of the first
     for b in batches:
         s, n, at, v = (b.column(c).to_numpy() for c in ("sig", "n", "at", "node"))
         if not len(s):
@@ -206,20 +206,35 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             s, n, at, v, band = (np.concatenate(([x], y)) for x, y in zip(last[:5], (s, n, at, v, band)))
         start = np.concatenate(([True], (s[1:] != s[:-1]) | (band[1:] != band[:-1])))
         head = np.flatnonzero(start)
-        firsts = v[head[np.cumsum(start) - 1]]
+        firsts = [x[head[np.cumsum(start) - 1]] for x in (n, at, v)]
         if last:
-            firsts[: head[1] if len(head) > 1 else len(s)] = last[5]
+            for x, known in zip(firsts, last[5:]):
+                x[: head[1] if len(head) > 1 else len(s)] = known
         new = np.flatnonzero((s[1:] == s[:-1]) & (v[1:] != v[:-1])) + 1
-        cols = (s[new], np.where(start[new], v[new - 1], firsts[new]), v[new - 1], n[new - 1], at[new - 1], v[new], n[new], at[new])
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["sig", "first", "prev", "prev_n", "prev_at", "node", "n", "at"])
-        last = (s[-1], n[-1], at[-1], v[-1], band[-1], firsts[-1])
+        before = [np.where(start[new], x[new - 1], y[new]) for x, y in zip((n, at, v), firsts)]
+        cols = (s[new], *before, n[new - 1], at[new - 1], v[new - 1], n[new], at[new], v[new])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=_RUN)
+        last = (s[-1], n[-1], at[-1], v[-1], band[-1], *(x[-1] for x in firsts))
+
+
+_RUN = ["sig", "first_n", "first_at", "first", "prev_n", "prev_at", "prev", "n", "at", "node"]
 
 
 def runs(book: DataFrame) -> DataFrame:
     """The neighbours in every column of the incidence matrix that several sets have, as far as it is a rare one to them."""
     at = book.select(F.posexplode("sigs").alias("at", "sig"), "node", F.col("n").cast("int").alias("n"))
     at = at.select("sig", "n", "at", "node").repartition("sig").sortWithinPartitions("sig", "n", "node")
-    return cut_lineage(at.mapInArrow(_runs, "sig long, first long, prev long, prev_n int, prev_at int, node long, n int, at int"), "gram-runs")
+    kinds = ", ".join(f"{c} {'int' if c.endswith(('n', 'at')) else 'long'}" for c in _RUN)
+    return cut_lineage(at.mapInArrow(_runs, kinds), "gram-runs")
+
+
+def _may_link(n: str, at: str, n2: str, at2: str) -> Column:
+    """Whether two sets of these sizes may link if what they meet in is the first column they share.
+
+    No more than n - at of each can then be shared. Sets that link pass at their first one.
+    """
+    bound = LEAST * (F.col(n) + F.col(n2))
+    return ((MOST + LEAST) * (F.col(n) - F.col(at)) >= bound) & ((MOST + LEAST) * (F.col(n2) - F.col(at2)) >= bound)
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -260,11 +275,11 @@ def _product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def products(pairs: DataFrame, sets: DataFrame, sizes: DataFrame) -> DataFrame:
-    """The pairs (a, b) of ``pairs`` that link; pairs under the bound of their sizes are dropped unread."""
-    small = pairs.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b")
-    small = small.where(F.least("na", "nb") * MOST >= F.greatest("na", "nb") * LEAST).select("a", "b")
-    wide = small.join(sets.toDF("b", "y"), "b").join(sets.toDF("a", "x"), "a").select("a", "b", "x", "y")
+def products(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of ``pairs``, a written table, that link."""
+    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    sets = sets_of(docs, nodes)
+    wide = pairs.join(sets.toDF("b", "y"), "b").join(sets.toDF("a", "x"), "a").select("a", "b", "x", "y")
     return cut_lineage(wide.mapInArrow(_product, "a long, b long"), "gram-links")
 
 
@@ -275,28 +290,26 @@ def _pair(x: str, y: str) -> list:
 def node_components(docs: DataFrame, book: DataFrame) -> DataFrame:
     """node, component: of the nodes that link with another one."""
     met = runs(book)
-    sizes = cut_lineage(book.where("node is not null").groupBy("node").agg(F.first("n").alias("n")), "gram-sizes")
-    touched = met.select("node").unionByName(met.select(F.col("prev").alias("node"))).distinct()
-    sets = sets_of(docs, touched)
-    # a run's first node, most shared blocks first: one likely partner of each node
-    likely = met.groupBy("node", "first").count().groupBy("node").agg(F.max_by("first", "count").alias("first"))
-    links = products(likely.select(*_pair("node", "first")).distinct(), sets, sizes)
-    tried = likely.select(*_pair("node", "first")).distinct()
+    by_first = met.where(_may_link("n", "at", "first_n", "first_at")).groupBy("node", "first").count()
+    # a run's first node, most shared columns first: one likely partner of each node
+    likely = by_first.groupBy("node").agg(F.max_by("first", "count").alias("first")).select(*_pair("node", "first")).distinct()
+    links = products(docs, cut_lineage(likely, "gram-likely"))
     # neighbours in a run that are still apart
-    apart = _apart(met.select(*_pair("node", "prev")).distinct().join(tried, ["a", "b"], "left_anti"), components(links))
-    links = cut_lineage(links.unionByName(products(apart, sets, sizes)), "gram-links")
+    beside = met.where(_may_link("n", "at", "prev_n", "prev_at")).select(*_pair("node", "prev")).distinct()
     found = components(links)
+    apart = cut_lineage(_apart(beside, found).join(likely, ["a", "b"], "left_anti"), "gram-apart")
+    if not apart.isEmpty():
+        links = links.unionByName(products(docs, apart))
+        found = components(links)
     # what remains: all members of a column whose sets are in several components
     named = _members(met).join(found, "node", "left").withColumn("c", F.coalesce("component", "node"))
     mixed = named.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("sig")
     rest = cut_lineage(named.join(mixed, "sig").select("sig", "node", "n", "at", "c"), "gram-mixed")
     other = rest.select("sig", *(F.col(c).alias(c + "2") for c in ("node", "n", "at", "c")))
-    # if this is the first column that two sets share, no more than n - at of each can be shared
-    bound = LEAST * (F.col("n") + F.col("n2"))
-    near = (F.col("c") < F.col("c2")) & ((MOST + LEAST) * (F.col("n") - F.col("at")) >= bound) & ((MOST + LEAST) * (F.col("n2") - F.col("at2")) >= bound)
-    left = cut_lineage(rest.join(other, "sig").where(near).select(*_pair("node", "node2")).distinct(), "gram-rest")
+    left = rest.join(other, "sig").where((F.col("c") < F.col("c2")) & _may_link("n", "at", "n2", "at2")).select(*_pair("node", "node2")).distinct()
+    left = cut_lineage(left.join(likely, ["a", "b"], "left_anti").join(apart, ["a", "b"], "left_anti"), "gram-rest")
     if not left.isEmpty():
-        links = links.unionByName(products(left, sets, sizes))
+        links = links.unionByName(products(docs, left))
         found = components(links)
     return found
 
