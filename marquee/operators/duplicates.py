@@ -123,8 +123,11 @@ def review_order(clusters: DataFrame) -> DataFrame:
 def review_queue(listings: DataFrame, as_of: dt.date, future_only: bool = True, limit: int = 200) -> DataFrame:
     """Member rows of the first ``limit`` clusters, in review order.
 
-    Members are rows, not an array: a night may be very large.
+    Members are rows, not an array: a night may be very large. ``review_totals`` says how
+    many clusters there are in all.
     """
+    if not 1 <= limit <= 1000:
+        raise ValueError("limit must be from 1 to 1000")
     chosen = review_order(review_clusters(listings, as_of, future_only)).limit(limit)
     starts = F.coalesce("show_min", "doors_min")
     return listings.join(chosen, ["venue_id", "date"]).orderBy(
@@ -132,6 +135,13 @@ def review_queue(listings: DataFrame, as_of: dt.date, future_only: bool = True,
     )
 
 
+def review_totals(listings: DataFrame, as_of: dt.date, future_only: bool = True, limit: int = 200) -> DataFrame:
+    """One row: all clusters to review, and how many of them a queue of ``limit`` shows."""
+    floor = as_of if future_only else revision_floor(as_of)
+    nights = crowded_nights(listings.where(F.col("date") >= F.lit(floor)))
+    return nights.agg(F.count(F.lit(1)).alias("total")).select("total", F.least("total", F.lit(limit)).alias("shown"))
+
+
 # --- folding ---
 
 def fold_decisions(listings: DataFrame, requests: DataFrame) -> DataFrame:

@@ -104,14 +104,16 @@ def cities(venues: DataFrame) -> DataFrame:
 def visible_venues_per_city(venues: DataFrame, hidden: DataFrame) -> DataFrame:
     """Per user and city: venues the user has not hidden. ``hidden``: (user_id, venue_slug).
 
-    Every user would otherwise pair with every venue, so the hidden ones are counted
-    and subtracted from the city's total.
+    Every city is there for every user, also those with nothing hidden. Users do not pair
+    with venues: the hidden ones are counted and subtracted from the city's total.
     """
     total = venues.groupBy("city").agg(F.count(F.lit(1)).alias("venues"))
+    every = total.agg(F.collect_list(F.struct("city", "venues")).alias("cities"))  # one row: as long as there are cities
+    pairs = hidden.select("user_id").distinct().crossJoin(every).select("user_id", F.inline("cities"))
     gone = (
         hidden.distinct().join(venues.select(F.col("slug").alias("venue_slug"), "city"), "venue_slug")
         .groupBy("user_id", "city").agg(F.count(F.lit(1)).alias("hidden_venues"))
     )
-    return gone.join(total, "city").select(
-        "user_id", "city", (F.col("venues") - F.col("hidden_venues")).alias("visible_venues")
+    return pairs.join(gone, ["user_id", "city"], "left").select(
+        "user_id", "city", (F.col("venues") - F.coalesce("hidden_venues", F.lit(0))).alias("visible_venues")
     )

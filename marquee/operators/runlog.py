@@ -40,7 +40,7 @@ def run_log_rows(venues: DataFrame, scraped: DataFrame, outcomes: DataFrame, err
     rows = venues.select(F.col("id").alias("venue_id"), "source_kind").join(found, "venue_id", "left").join(outcomes, "venue_id", "left")
     if errors is not None:
         said = errors.groupBy("venue_id").agg(
-            F.min(F.substring(describe_error("kind", "message"), 1, ERROR_LENGTH)).alias("error_message")
+            F.substring(F.array_join(F.array_sort(F.collect_set(describe_error("kind", "message"))), "; "), 1, ERROR_LENGTH).alias("error_message")
         )
         rows = rows.join(said, "venue_id", "left")
     else:

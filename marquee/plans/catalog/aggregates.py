@@ -45,8 +45,10 @@ ENTRIES = [
       FROM listings WHERE date >= DATE '1998-06-01' - 30 AND approved_at IS NULL GROUP BY 1, 2"""),
     q("cities", "A20", lambda t: enrich.cities(t.venues()), "SELECT DISTINCT city FROM venues"),
     q("visible_venues_per_city", "A21", lambda t: enrich.visible_venues_per_city(t.venues(), t.hidden_venues()),
-      """SELECT h.user_id, v.city, (SELECT count(*) FROM venues x WHERE x.city = v.city) - count(*) AS visible_venues
-      FROM hidden_venues h JOIN venues v ON h.venue_slug = v.slug GROUP BY 1, 2"""),
+      """SELECT u.user_id, c.city, c.n - coalesce(h.n, 0) AS visible_venues FROM (SELECT DISTINCT user_id FROM hidden_venues) u
+      CROSS JOIN (SELECT city, count(*) AS n FROM venues GROUP BY 1) c LEFT JOIN (SELECT h.user_id, v.city, count(*) AS n
+      FROM (SELECT DISTINCT user_id, venue_slug FROM hidden_venues) h JOIN venues v ON h.venue_slug = v.slug GROUP BY 1, 2) h
+      ON h.user_id = u.user_id AND h.city = c.city"""),
     q("night_histogram", "A13", lambda t: visitor.night_histogram(filters.live_only(filters.unfolded(t.folded())), AS_OF, _user_favorites(t)),
       f"""SELECT night, shows, saved, lit, CASE WHEN saved > 0 THEN least(lit, greatest(1, floor(saved / shows * lit + 0.5)))::BIGINT ELSE 0 END AS saved_lit
       FROM (SELECT *, CASE WHEN shows > 0 THEN greatest(1, floor(shows / greatest(max(shows) OVER (), 6) * 8 + 0.5))::BIGINT ELSE 0 END AS lit FROM (

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import os
 import uuid
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from ...functions.text import archive_form, session_markers, similarity_form
 from ...operators import archive, classify, display, duplicates, filters, linkage
@@ -102,6 +103,18 @@ def _refreshed(t):
     return table.select("id", "venue_id", "name", "date", "status", "price_min", "hash", *kept)
 
 
+def _renamed_and_relisted(t):
+    """Two refreshes: all listings with a source id, then each renamed and its old title listed anew under another id."""
+    first = cut_lineage(linkage.dedupe_batch(t.scraped()).where("external_id is not null and external_id <> ''"), "batch")
+    table = cut_lineage(linkage.apply_plan(t.stored().limit(0), first, linkage.merge_plan(t.stored().limit(0), first, AS_OF), NOW), "table")
+    renamed = first.withColumns({"name": F.concat("name", F.lit(" (new)")), "hash": F.md5(F.concat("hash", F.lit("|new"))), "pos": F.concat(F.lit("0|"), "pos")})
+    again = first.withColumns({"external_id": F.concat("external_id", F.lit("-again")), "pos": F.concat(F.lit("1|"), "pos")})
+    second = cut_lineage(renamed.unionByName(again), "batch")
+    later = linkage.apply_plan(table, second, linkage.merge_plan(table, second, AS_OF), NOW + dt.timedelta(hours=6))
+    same = F.count(F.lit(1)).over(Window.partitionBy("id"))
+    return later.select("venue_id", "name", "date", "external_id", "hash", same.alias("rows_with_id"))
+
+
 def _streamed(t):
     """Stored rows as version 0, the batch landed as files, then the stream until all is consumed."""
     root = os.path.join(scratch_root(t.spark), f"stream-{uuid.uuid4().hex}")
@@ -114,11 +127,11 @@ def _streamed(t):
 
 
 APPLIED = "id venue_id name artist date show_min ticket_url price_min status hash".split()
-APPLIED_SQL = """SELECT s.id, s.venue_id, s.name, s.artist, s.date, s.show_min, s.ticket_url, s.price_min, s.status, s.hash FROM stored s JOIN plan p ON s.id = p.id
+APPLIED_SQL = f"""SELECT s.id, s.venue_id, s.name, s.artist, s.date, s.show_min, s.ticket_url, s.price_min, s.status, s.hash FROM stored s JOIN plan p ON s.id = p.id
       WHERE p.action IN ('keep', 'orphan')
       UNION ALL SELECT s.id, s.venue_id, n.name, coalesce(n.artist, s.artist), s.date, coalesce(n.show_min, s.show_min), coalesce(n.ticket_url, s.ticket_url),
         n.price_min, n.status, n.hash FROM stored s JOIN plan p ON s.id = p.id JOIN deduped n ON n.pos = p.pos WHERE p.action = 'update'
-      UNION ALL SELECT n.hash, n.venue_id, n.name, n.artist, n.date, n.show_min, n.ticket_url, n.price_min, n.status, n.hash
+      UNION ALL SELECT md5(concat_ws('|', '{NOW.isoformat()}', n.pos, n.hash)), n.venue_id, n.name, n.artist, n.date, n.show_min, n.ticket_url, n.price_min, n.status, n.hash
         FROM deduped n JOIN plan p ON n.pos = p.pos WHERE p.action = 'insert'"""
 NIGHTS = """SELECT venue_id, date, count(*) AS unfolded_rows, bool_and(approved_at IS NOT NULL) AS all_approved
   FROM folded WHERE duplicate_of_id IS NULL AND date >= '1998-06-01' GROUP BY 1, 2 HAVING count(*) > 1"""
@@ -147,6 +160,9 @@ ENTRIES = [
       """SELECT venue_id, count(*) FILTER (WHERE action = 'insert') AS created, count(*) FILTER (WHERE action = 'update') AS updated,
       count(*) FILTER (WHERE action = 'superseded') AS merged, count(*) FILTER (WHERE action = 'expired') AS expired FROM plan GROUP BY 1"""),
     q("applied_plan", "P4 S15", lambda t: _applied(t).select(*APPLIED), APPLIED_SQL),
+    q("renamed_and_relisted", "P4 S15", _renamed_and_relisted,
+      """SELECT venue_id, name || ' (new)' AS name, date, external_id, md5(hash || '|new') AS hash, 1::BIGINT AS rows_with_id FROM deduped WHERE external_id <> ''
+      UNION ALL SELECT venue_id, name, date, external_id || '-again', hash, 1::BIGINT FROM deduped WHERE external_id <> ''"""),
     q("streamed_refresh", "G1 S15", _streamed, APPLIED_SQL),
     q("refreshed_table", "P1 P2 P3 P4 P6b", _refreshed),
     q("crowded_nights", "A3", lambda t: duplicates.crowded_nights(t.folded()),
@@ -157,6 +173,8 @@ ENTRIES = [
     q("review_facts", "A9 P9", lambda t: duplicates.review_clusters(t.folded(), AS_OF).select("venue_id", "date", "unfolded_rows", "all_approved"), NIGHTS),
     q("review_scores", "A8 J14 T8", lambda t: duplicates.cluster_scores(filters.unfolded(t.folded()))),
     q("review_queue", "P9 O5 O6", lambda t: duplicates.review_queue(t.folded(), AS_OF).select("venue_id", "date", "score", "id", "name", "show_min")),
+    q("review_totals", "P9 O5", lambda t: duplicates.review_totals(t.folded(), AS_OF),
+      f"SELECT count(*) AS total, least(count(*), 200) AS shown FROM ({NIGHTS})"),
     q("title_forms", "T7 T9 T10", lambda t: t.listings().select(
         "id", similarity_form("name").alias("similar"), archive_form("name").alias("archived"), F.array_join(session_markers("name"), ",").alias("markers")),
       f"SELECT id, {SIMILAR} AS similar, {FORM} AS archived, array_to_string({MARKS}, ',') AS markers FROM listings"),

@@ -194,6 +194,19 @@ def _entry_sql(lines: str) -> str:
 FEED_ABOUT = f"""nullif(concat_ws(chr(10), CASE WHEN l.name <> {TITLE.replace('name', 'l.name')} THEN l.name END, 'w/ ' || support_artists,
   'Doors: ' || {CLOCK.format(m='doors_min')}, 'Show: ' || {CLOCK.format(m='show_min')}, {FEED_PRICE}, age_restriction, chr(10) || ticket_url), '')"""
 
+FEED_SQL = f"""SELECT l.id, {_entry_sql("'BEGIN:VEVENT', 'UID:' || l.id || '@listings.example', 'DTSTAMP:19700101T000000Z', 'SUMMARY:' || "
+        + ESC.format(x=TITLE.replace('name', 'l.name')) + ", CASE WHEN show_min IS NULL THEN 'DTSTART;VALUE=DATE:' || strftime(date, '%Y%m%d') ELSE 'DTSTART;TZID=America/New_York:' || "
+        + STAMP.format(m='show_min') + " END, CASE WHEN show_min IS NULL THEN 'DTEND;VALUE=DATE:' || strftime(date + 1, '%Y%m%d') ELSE 'DTEND;TZID=America/New_York:' || "
+        + STAMP.format(m='show_min + 180') + " END, 'LOCATION:' || " + ESC.format(x="(v.name || ', ' || v.city || ', NC')")
+        + ", 'DESCRIPTION:' || " + ESC.format(x=FEED_ABOUT) + ", 'URL:' || ticket_url, 'END:VEVENT'")} AS entry
+      FROM folded l JOIN venues v ON l.venue_id = v.id WHERE date >= '1998-06-01' AND duplicate_of_id IS NULL AND is_live_music"""
+FAVOURITES_SQL = f"""SELECT user_id, event_id, {_entry_sql("'BEGIN:VEVENT', CASE WHEN nullif(show_min, 0) IS NULL THEN 'DTSTART;VALUE=DATE:' || strftime(date, '%Y%m%d') ELSE 'DTSTART:' || "
+        + STAMP.format(m='show_min') + " END, CASE WHEN nullif(show_min, 0) IS NULL THEN 'DTEND;VALUE=DATE:' || strftime(date + 1, '%Y%m%d') ELSE 'DTEND:' || "
+        + STAMP.format(m='show_min + 120') + " END, 'SUMMARY:' || " + ESC.format(x=TITLE.replace('name', 'l.name')) + ", 'LOCATION:' || "
+        + ESC.format(x="(v.name || ', ' || v.city)") + ", 'DESCRIPTION:' || " + ESC.format(x="concat_ws(chr(10), v.name || ', ' || v.city, ticket_url)")
+        + ", 'URL:' || ticket_url, 'UID:' || event_id || '@listings.example', 'END:VEVENT'")} AS entry
+      FROM (SELECT DISTINCT user_id, event_id FROM favorites) f JOIN listings l ON l.id = f.event_id JOIN venues v ON l.venue_id = v.id"""
+
 ENTRIES = [
     q("ticketing_feed", "S2 S3 A10 T26", lambda t: ticketing.ticketing_listings(_ticketing_pages(t)).select(
         *SHOWN, "support_artists", "image_url", "subgenre", "genre", "age_restriction", "ticket_url", "price_max", "hash"),
@@ -265,17 +278,14 @@ ENTRIES = [
       f"""SELECT l.id, {TITLE.replace('name', 'l.name')} AS title, v.city, {CLOCK.format(m='show_min')} AS show_time, strftime(date, '%Y-%m-%d') AS start
       FROM listings l JOIN venues v ON l.venue_id = v.id WHERE date >= '1998-06-01'"""),
     q("subscription_feed", "S18 T33 T36", lambda t: sinks.feed_entries(t.folded(), t.venues(), AS_OF).select("id", "entry"),
-      f"""SELECT l.id, {_entry_sql("'BEGIN:VEVENT', 'UID:' || l.id || '@listings.example', 'DTSTAMP:19700101T000000Z', 'SUMMARY:' || "
-        + ESC.format(x=TITLE.replace('name', 'l.name')) + ", CASE WHEN show_min IS NULL THEN 'DTSTART;VALUE=DATE:' || strftime(date, '%Y%m%d') ELSE 'DTSTART;TZID=America/New_York:' || "
-        + STAMP.format(m='show_min') + " END, CASE WHEN show_min IS NULL THEN 'DTEND;VALUE=DATE:' || strftime(date + 1, '%Y%m%d') ELSE 'DTEND;TZID=America/New_York:' || "
-        + STAMP.format(m='show_min + 180') + " END, 'LOCATION:' || " + ESC.format(x="(v.name || ', ' || v.city || ', NC')")
-        + ", 'DESCRIPTION:' || " + ESC.format(x=FEED_ABOUT) + ", 'URL:' || ticket_url, 'END:VEVENT'")} AS entry
-      FROM folded l JOIN venues v ON l.venue_id = v.id WHERE date >= '1998-06-01' AND duplicate_of_id IS NULL AND is_live_music"""),
+      FEED_SQL),
     q("favourites_export", "S19 T36", lambda t: sinks.export_entries(visitor.saved_events(t.favorites(), t.listings(), t.venues())),
-      f"""SELECT user_id, event_id, {_entry_sql("'BEGIN:VEVENT', CASE WHEN nullif(show_min, 0) IS NULL THEN 'DTSTART;VALUE=DATE:' || strftime(date, '%Y%m%d') ELSE 'DTSTART:' || "
-        + STAMP.format(m='show_min') + " END, CASE WHEN nullif(show_min, 0) IS NULL THEN 'DTEND;VALUE=DATE:' || strftime(date + 1, '%Y%m%d') ELSE 'DTEND:' || "
-        + STAMP.format(m='show_min + 120') + " END, 'SUMMARY:' || " + ESC.format(x=TITLE.replace('name', 'l.name')) + ", 'LOCATION:' || "
-        + ESC.format(x="(v.name || ', ' || v.city)") + ", 'DESCRIPTION:' || " + ESC.format(x="concat_ws(chr(10), v.name || ', ' || v.city, ticket_url)")
-        + ", 'URL:' || ticket_url, 'UID:' || event_id || '@listings.example', 'END:VEVENT'")} AS entry
-      FROM (SELECT DISTINCT user_id, event_id FROM favorites) f JOIN listings l ON l.id = f.event_id JOIN venues v ON l.venue_id = v.id"""),
+      FAVOURITES_SQL),
+    q("subscription_file", "S18", lambda t: sinks.calendar_sections(sinks.feed_entries(t.folded(), t.venues(), AS_OF), "Listings").select("section", "id", "entry"),
+      f"""SELECT 1 AS section, id, entry FROM ({FEED_SQL}) UNION ALL SELECT 2, NULL, 'END:VCALENDAR' UNION ALL SELECT 0, NULL, {_entry_sql(
+        "'BEGIN:VCALENDAR', 'VERSION:2.0', 'PRODID:-//listings//calendar//EN', 'CALSCALE:GREGORIAN', 'METHOD:PUBLISH', 'X-WR-CALNAME:Listings', 'NAME:Listings', "
+        "'REFRESH-INTERVAL;VALUE=DURATION:PT6H', 'X-PUBLISHED-TTL:PT6H'")}"""),
+    q("favourites_files", "S19", lambda t: sinks.user_calendars(sinks.export_entries(visitor.saved_events(t.favorites(), t.listings(), t.venues()))),
+      f"""SELECT user_id, {_entry_sql("'BEGIN:VCALENDAR', 'VERSION:2.0', 'PRODID:-//listings//favourites//EN', 'CALSCALE:GREGORIAN', 'METHOD:PUBLISH', "
+        "string_agg(entry, chr(13) || chr(10) ORDER BY event_id), 'END:VCALENDAR'")} || chr(13) || chr(10) AS calendar FROM ({FAVOURITES_SQL}) GROUP BY 1"""),
 ]

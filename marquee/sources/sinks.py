@@ -143,6 +143,28 @@ def export_entries(saved: DataFrame, uid_domain: str = "listings.example") -> Da
     return saved.select("user_id", "event_id", lines.alias("entry"))
 
 
-def write_feed(entries: DataFrame, path: str) -> None:
-    """Entries as text files, ordered within each file."""
-    entries.sortWithinPartitions("date", "id").select("entry").write.mode("overwrite").option("lineSep", CRLF).text(path)
+def calendar_sections(entries: DataFrame, name: str, product: str = "-//listings//calendar//EN", refresh_hours: int = 6) -> DataFrame:
+    """A whole calendar file as ``(section, date, id, entry)``: the header once, the entries, the end once."""
+    head = [
+        "BEGIN:VCALENDAR", "VERSION:2.0", f"PRODID:{product}", "CALSCALE:GREGORIAN", "METHOD:PUBLISH", f"X-WR-CALNAME:{name}", f"NAME:{name}",
+        f"REFRESH-INTERVAL;VALUE=DURATION:PT{refresh_hours}H", f"X-PUBLISHED-TTL:PT{refresh_hours}H",
+    ]
+    body = entries.select(F.lit(1).alias("section"), "date", F.col("id").cast("string").alias("id"), "entry")
+    ends = entries.sparkSession.createDataFrame(
+        [(0, None, None, CRLF.join(head)), (2, None, None, "END:VCALENDAR")], "section int, date date, id string, entry string"
+    )
+    return ends.unionByName(body)
+
+
+def write_feed(entries: DataFrame, path: str, name: str) -> None:
+    """One calendar as text: range-sorted parts that make a valid file when joined in the order of their names."""
+    whole = calendar_sections(entries, name).orderBy("section", "date", "id")
+    whole.select("entry").write.mode("overwrite").option("lineSep", CRLF).text(path)
+
+
+def user_calendars(entries: DataFrame, product: str = "-//listings//favourites//EN") -> DataFrame:
+    """A calendar per visitor as ``(user_id, calendar)``; as long as the visitor's favourites."""
+    head = CRLF.join(["BEGIN:VCALENDAR", "VERSION:2.0", f"PRODID:{product}", "CALSCALE:GREGORIAN", "METHOD:PUBLISH"])
+    each = entries.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "entry"))).alias("e"))
+    lines = F.concat(F.array(F.lit(head)), F.transform("e", lambda x: x["entry"]), F.array(F.lit("END:VCALENDAR")))
+    return each.select("user_id", F.concat(F.array_join(lines, CRLF), F.lit(CRLF)).alias("calendar"))
