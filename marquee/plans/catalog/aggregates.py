@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ...operators import enrich, filters, moderation, runlog, series, visitor
 from ...schema import EVENT_STATUSES
-from .entry import q
+from .entry import in_order, q
 from .standin import AS_OF, KEY, LOG_NOW
 
 STATIONS = f"""
@@ -26,6 +26,16 @@ def _user_favorites(t):
 
 TOP_USER = "(SELECT user_id FROM favorites GROUP BY 1 ORDER BY count(*) DESC, user_id LIMIT 1)"
 
+def _busiest_submitter(t):
+    return t.submissions().groupBy("submitted_by").count().orderBy(F.desc("count"), "submitted_by").first()[0]
+
+
+def _outcomes(t):
+    """A first refresh: whatever was found was created."""
+    zero = F.lit(0).cast("bigint")
+    return t.scraped().groupBy("venue_id").agg(F.count(F.lit(1)).alias("created")).withColumns({"updated": zero, "merged": zero, "expired": zero})
+
+
 ENTRIES = [
     q("upcoming_counts", "A2", lambda t: enrich.upcoming_counts(t.folded(), AS_OF),
       "SELECT venue_id, count(*) AS upcoming FROM folded WHERE date >= '1998-06-01' AND duplicate_of_id IS NULL GROUP BY 1"),
@@ -68,12 +78,24 @@ ENTRIES = [
     q("runs_by_source", "S16", lambda t: t.run_log().groupBy("venue_id").agg(
         F.count(F.lit(1)).alias("runs"), F.count_if(F.col("status") == "failed").alias("failed"), F.max("duration_seconds").alias("longest")),
       "SELECT venue_id, count(*) AS runs, count(*) FILTER (WHERE status = 'failed') AS failed, max(duration_seconds) AS longest FROM run_log GROUP BY 1"),
+    q("run_log_rows", "S16", lambda t: runlog.run_log_rows(
+        t.venues(), t.scraped(), _outcomes(t), t.run_log().where("status = 'failed'").select(
+            "venue_id", F.lit("ReadTimeout").alias("kind"), F.date_format("finished_at", "yyyy-MM-dd").alias("message")),
+        dt.datetime(1998, 6, 1), dt.datetime(1998, 6, 1, 0, 1)).select("venue_id", "status", "events_found", "events_created", "error_message", "duration_seconds"),
+      """SELECT v.id AS venue_id, CASE WHEN e.m IS NULL THEN 'success' ELSE 'failed' END AS status, CASE WHEN e.m IS NULL THEN coalesce(s.n, 0) ELSE 0 END AS events_found,
+      CASE WHEN e.m IS NULL THEN coalesce(s.n, 0) ELSE 0 END AS events_created, e.m AS error_message, 60.0::DOUBLE AS duration_seconds
+      FROM venues v LEFT JOIN (SELECT venue_id, count(*) AS n FROM scraped GROUP BY 1) s ON s.venue_id = v.id
+      LEFT JOIN (SELECT venue_id, string_agg(DISTINCT m, '; ' ORDER BY m)[1:2000] AS m FROM (SELECT venue_id, 'ReadTimeout: ' || strftime(finished_at, '%Y-%m-%d') AS m
+        FROM run_log WHERE status = 'failed') GROUP BY 1) e ON e.venue_id = v.id"""),
     q("pending_per_submitter", "A19", lambda t: moderation.pending_per_submitter(t.submissions()),
       "SELECT submitted_by, count(*) AS pending FROM submissions WHERE status = 'pending' GROUP BY 1"),
-    q("pending_submissions", "O8", lambda t: moderation.pending_submissions(t.submissions()).select("id", "submitted_by", "submitted_at", "name"),
-      "SELECT id, submitted_by, submitted_at, name FROM submissions WHERE status = 'pending'"),
-    q("newest_submissions", "O9", lambda t: moderation.newest_submissions(t.submissions(), "customer-42").select("id", "status", "submitted_at"),
-      "SELECT id, status, submitted_at FROM submissions WHERE submitted_by = 'customer-42' ORDER BY submitted_at DESC, id DESC LIMIT 50"),
+    q("pending_submissions", "O8", lambda t: in_order(moderation.pending_submissions(t.submissions()), "submitted_by").select("id", "submitted_by", "submitted_at", "name", "place"),
+      """SELECT id, submitted_by, submitted_at, name, row_number() OVER (PARTITION BY submitted_by ORDER BY submitted_at, id)::INT AS place
+      FROM submissions WHERE status = 'pending'"""),
+    q("newest_submissions", "O9", lambda t: in_order(moderation.newest_submissions(t.submissions(), _busiest_submitter(t)), "submitted_by").select(
+        "id", "status", "submitted_at", "place"),
+      """SELECT id, status, submitted_at, row_number() OVER (ORDER BY submitted_at DESC, id DESC)::INT AS place FROM submissions WHERE submitted_by =
+      (SELECT submitted_by FROM submissions GROUP BY 1 ORDER BY count(*) DESC, submitted_by LIMIT 1) ORDER BY submitted_at DESC, id DESC LIMIT 50"""),
     q("repeated_source_ids", "integrity", lambda t: runlog.repeated_values(t.listings(), "external_id"),
       "SELECT external_id, count(*) AS rows FROM listings GROUP BY 1 HAVING count(*) > 1"),
     q("repeated_hashes", "integrity", lambda t: runlog.repeated_values(t.hashed(), "hash"),

@@ -6,12 +6,16 @@ per order; the parsers under test then have to recover them.
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ...operators import filters, visitor
 from ...sources import cms, common, grids, jsonld, platform, registry, scripts, sinks, ticketing, university
-from .entry import q
+from ...session import scratch_root
+from .entry import in_order, q
 from .reads import CLOCK, FEED_PRICE
 from .standin import AS_OF, HASH
 
@@ -207,8 +211,16 @@ FAVOURITES_SQL = f"""SELECT user_id, event_id, {_entry_sql("'BEGIN:VEVENT', CASE
         + ", 'URL:' || ticket_url, 'UID:' || event_id || '@listings.example', 'END:VEVENT'")} AS entry
       FROM (SELECT DISTINCT user_id, event_id FROM favorites) f JOIN listings l ON l.id = f.event_id JOIN venues v ON l.venue_id = v.id"""
 
+def _landed_pages(t) -> DataFrame:
+    """The pages written as landed files, one folder a venue and one document a line, and read back."""
+    root = os.path.join(scratch_root(t.spark), f"landed-{uuid.uuid4().hex}")
+    _ticketing_pages(t).select("venue_slug", F.col("payload").alias("value")).write.partitionBy("venue_slug").text(root)
+    pages = ticketing.read_pages(t.spark, root)
+    return pages.select(F.regexp_extract("feed", "venue_slug=([^/]+)", 1).alias("venue_slug"), "payload")
+
+
 ENTRIES = [
-    q("ticketing_feed", "S2 S3 A10 T26", lambda t: ticketing.ticketing_listings(_ticketing_pages(t)).select(
+    q("ticketing_feed", "S2 S3 A10 T26", lambda t: ticketing.ticketing_listings(_landed_pages(t)).select(
         *SHOWN, "support_artists", "image_url", "subgenre", "genre", "age_restriction", "ticket_url", "price_max", "hash"),
       f"""SELECT name, date, slug AS venue_slug, id AS external_id, artist, show_min, price_min, status, CASE WHEN artist IS NOT NULL THEN genre END AS support_artists,
       'https://img.example/wide' AS image_url, genre AS subgenre, NULL::VARCHAR AS genre, age_restriction, ticket_url, CASE WHEN price_min IS NOT NULL THEN price_max END AS price_max,
@@ -230,8 +242,9 @@ ENTRIES = [
       .unionByName(university.routed(_university_records(t), everything_else=True, excluded=["supplier-000000003"]).select("feed_no", F.col("raw.recurrenceId").alias("id"))),
       """SELECT CASE WHEN is_live_music THEN 0 ELSE 1 END AS feed_no, id FROM listings WHERE (is_live_music OR status <> 'on_sale') AND venue_id IN (3, 4)
       UNION ALL SELECT CASE WHEN is_live_music THEN 0 ELSE 1 END, id FROM listings WHERE (is_live_music OR status <> 'on_sale') AND venue_id <> 3"""),
-    q("room_breakdown", "A12", lambda t: university.room_breakdown(_university_records(t)),
-      "SELECT coalesce(artist, '(no location)') AS room, count(*) AS entries FROM listings WHERE is_live_music OR status <> 'on_sale' GROUP BY 1"),
+    q("room_breakdown", "A12", lambda t: in_order(university.room_breakdown(_university_records(t)), "entries"),
+      """SELECT *, row_number() OVER (PARTITION BY entries ORDER BY room)::INT AS place FROM (SELECT coalesce(artist, '(no location)') AS room, count(*) AS entries
+      FROM listings WHERE is_live_music OR status <> 'on_sale' GROUP BY 1)"""),
     q("platform_rows", "S8 T17", lambda t: platform.platform_listings(_platform_results(t)).select(
         "external_id", "name", "date", "show_min", "doors_min", "support_artists", "image_url", "ticket_url", "age_restriction"),
       """SELECT id AS external_id, name, date, s AS show_min, CASE WHEN s IS DISTINCT FROM doors_min THEN doors_min END AS doors_min, support_artists, image_url, ticket_url, age_restriction

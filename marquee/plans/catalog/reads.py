@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ...functions.moneytime import calendar_price_label, clock_12h, feed_price_label
-from ...operators import display, enrich, filters, moderation, series
+from ...operators import display, enrich, filters, moderation, series, visitor
 from .. import calendar
-from .entry import q
+from .entry import in_order, q
 from .standin import AS_OF
 
 LABEL = "regexp_replace(lower(coalesce(nullif(artist, ''), name)), '[^a-z0-9]', '', 'g')"
@@ -43,6 +43,12 @@ def _flat(cal):
     )
 
 
+def _busiest_day(t):
+    """The listings of the venue's day with the most, in their order."""
+    top = t.listings().groupBy("venue_id", "date").count().orderBy(F.desc("count"), "venue_id", "date").first()
+    return in_order(visitor.same_day_group(t.listings(), top["venue_id"], top["date"]), "venue_id").select("id", "venue_id", "date", "show_min", "place")
+
+
 ENTRIES = [
     q("archive_scan", "S1", lambda t: filters.date_window(t.listings(), "1996-01-01", "1996-12-31")
       .select("id", "venue_id", "name", "date", "status", "updated_at").orderBy("date", "venue_id", "id"),
@@ -71,8 +77,7 @@ ENTRIES = [
       "SELECT id, source_kind FROM venues WHERE source_kind <> 'manual' AND source_kind <> 'mec'"),
     q("venue_text_filter", "S13", lambda t: t.venues().where(filters.venue_text_keeps("name", "SUPPLIER#0", "#00000001")).select("id", "name"),
       "SELECT id, name FROM venues WHERE contains(lower(name), 'supplier#0') AND NOT contains(lower(name), '#00000001')"),
-    q("point_lookup", "F13", lambda t: t.folded().join(
-        filters.unfolded(t.folded()).agg(F.max("id").alias("_wanted")), F.col("id") == F.col("_wanted")).select("id", "name", "date"),
+    q("point_lookup", "F13", lambda t: filters.by_id(t.folded(), filters.unfolded(t.folded()).agg(F.max("id")).first()[0]).select("id", "name", "date"),
       "SELECT id, name, date FROM folded WHERE id = (SELECT max(id) FROM folded WHERE duplicate_of_id IS NULL)"),
     q("response_rows", "F14 F16 J1", lambda t: enrich.response_rows(t.listings(), t.venues())
       .select("id", "name", "date", "status", "ticket_url", "image_url", "venue_name", "venue_slug", "venue_city", "venue_color"),
@@ -100,23 +105,23 @@ ENTRIES = [
     q("capped_queue", "O3", lambda t: filters.capped(filters.moderation_queue(t.listings(), AS_OF), 1000, "date", "id").select("id", "date"),
       """SELECT id, date FROM listings WHERE date >= DATE '1998-06-01' - 30 AND NOT is_live_music AND approved_at IS NULL
       ORDER BY date, id LIMIT 1000"""),
-    q("public_venues", "J9 A2 O4", lambda t: enrich.public_venues(t.venues(), t.folded(), AS_OF).select("id", "name", "city", "upcoming"),
-      """SELECT v.id, v.name, v.city, coalesce(n, 0) AS upcoming FROM venues v LEFT JOIN (SELECT venue_id, count(*) AS n FROM folded
+    q("public_venues", "J9 A2 O4", lambda t: in_order(enrich.public_venues(t.venues(), t.folded(), AS_OF), "city").select("id", "name", "city", "upcoming", "place"),
+      """SELECT v.id, v.name, v.city, coalesce(n, 0) AS upcoming, row_number() OVER (PARTITION BY v.city ORDER BY v.name, v.id)::INT AS place FROM venues v LEFT JOIN (SELECT venue_id, count(*) AS n FROM folded
       WHERE date >= '1998-06-01' AND duplicate_of_id IS NULL GROUP BY 1) ON v.id = venue_id WHERE source_kind <> 'manual' OR coalesce(n, 0) > 0"""),
     q("admin_venues", "J17", lambda t: enrich.admin_venues(t.venues(), t.folded(), AS_OF),
       """SELECT v.id, v.name, v.city, v.color, coalesce(n, 0) AS upcoming, CASE source_kind WHEN 'manual' THEN 'manual' ELSE 'sourced' END AS venue_group
       FROM venues v LEFT JOIN (SELECT venue_id, count(*) AS n FROM folded WHERE date >= '1998-06-01' AND duplicate_of_id IS NULL GROUP BY 1)
       ON v.id = venue_id"""),
-    q("override_list", "J3 O10", lambda t: moderation.override_list(t.overrides(), t.venues()).select("id", "venue_id", "venue_name", "normalized_name", "is_live_music"),
-      "SELECT o.id, venue_id, v.name AS venue_name, normalized_name, is_live_music FROM overrides o JOIN venues v ON venue_id = v.id"),
+    q("override_list", "J3 O10", lambda t: in_order(moderation.override_list(t.overrides(), t.venues()), "venue_id").select(
+        "id", "venue_id", "venue_name", "normalized_name", "is_live_music", "place"),
+      """SELECT o.id, venue_id, v.name AS venue_name, normalized_name, is_live_music,
+      row_number() OVER (PARTITION BY venue_id ORDER BY o.created_at DESC, o.id DESC)::INT AS place FROM overrides o JOIN venues v ON venue_id = v.id"""),
     q("survivor_names", "J7", lambda t: enrich.with_survivor_name(t.folded().select("id", "duplicate_of_id"), t.listings()),
       "SELECT f.id, f.duplicate_of_id, s.name AS duplicate_of_name FROM folded f LEFT JOIN listings s ON f.duplicate_of_id = s.id"),
     q("submitters", "J8", lambda t: enrich.with_submitter(t.listings().select("id", "name"), t.submissions()),
       "SELECT l.id, l.name, s.submitted_by FROM listings l LEFT JOIN submissions s ON l.id = s.event_id"),
-    q("same_day_group", "O11", lambda t: display.first_per(
-        t.listings(), ["venue_id", "date"], [F.col("show_min").asc_nulls_last(), F.col("id").asc()]).select("venue_id", "date", "id", "show_min"),
-      """SELECT venue_id, date, id, show_min FROM (SELECT *, row_number() OVER (PARTITION BY venue_id, date ORDER BY show_min NULLS LAST, id) AS place
-      FROM listings) WHERE place = 1"""),
+    q("same_day_group", "O11", _busiest_day, """SELECT id, venue_id, date, show_min, row_number() OVER (ORDER BY show_min NULLS LAST, id)::INT AS place FROM listings
+      WHERE (venue_id, date) = (SELECT (venue_id, date) FROM listings GROUP BY venue_id, date ORDER BY count(*) DESC, venue_id, date LIMIT 1)"""),
     q("time_and_price_labels", "T30 T31 T32", lambda t: t.listings().select(
         "id", clock_12h("show_min").alias("show_time"), calendar_price_label("price_min", "price_max").alias("calendar_price"),
         feed_price_label("price_min", "price_max").alias("feed_price")),
