@@ -5,28 +5,35 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from ..operators.linkage import newest_scrape_per_venue
+from ..operators.runlog import run_log_rows
 from ..plans.refresh import refresh
-from ..sources.sinks import current, publish
+from ..sources.sinks import append_run_log, current, publish
 
 
 def start_refresh(spark: SparkSession, landing: str, schema: StructType, root: str, checkpoint: str,
                   venues: DataFrame, overrides: DataFrame | None, clock: Callable[[], dt.datetime],
-                  on_batch: Callable[[int, DataFrame], None] | None = None) -> StreamingQuery:
+                  on_batch: Callable[[int, DataFrame], None] | None = None, log: str | None = None) -> StreamingQuery:
     """Consume what has landed, then stop. Each batch writes one version of the table.
 
     Version ``n + 1`` is made from the newest version before it, so a batch that is run
-    again after a failure gives the same table.
+    again after a failure gives the same table. Where several scrapes of a venue landed
+    together (column ``scrape``), the newest counts. ``log`` is the run log's folder.
     """
 
     def one(batch: DataFrame, batch_id: int) -> None:
         version = batch_id + 1
         now = clock()
-        done = refresh(current(spark, root, before=version), batch, venues, overrides, now.date(), now)
+        rows = newest_scrape_per_venue(batch)
+        done = refresh(current(spark, root, before=version), rows, venues, overrides, now.date(), now)
         publish(done.table, root, version)
+        if log:
+            seen = venues.join(rows.select(F.col("venue_id").alias("id")).distinct(), "id", "left_semi")
+            append_run_log(run_log_rows(seen, rows, done.outcomes, None, now, clock()), log)
         if on_batch:
             on_batch(batch_id, done.outcomes)
 

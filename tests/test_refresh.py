@@ -89,6 +89,30 @@ def test_stream_writes_one_version_per_batch(spark, tmp_path):
     assert sorted(r.name for r in sinks.current(spark, root).collect()) == ["New", "Third"]
 
 
+def test_two_scrapes_of_a_venue_give_the_newest_ones_answer(spark, tmp_path):
+    root, landing = str(tmp_path / "table"), str(tmp_path / "landing")
+    sinks.publish(stored(spark, dict(name="Gone", external_id="g")), root, 0)
+    old = batch(spark, dict(name="Alpha", external_id="a"), dict(name="Gone", external_id="g")).withColumn("scrape", F.lit(1).cast("long"))
+    new = batch(spark, dict(name="Alpha", external_id="a"), dict(name="Beta", external_id="b")).withColumn("scrape", F.lit(2).cast("long"))
+    barn = batch(spark, dict(name="Barn dance", venue_id=2, venue_slug="barn")).withColumn("scrape", F.lit(1).cast("long"))
+    old.unionByName(new).unionByName(barn).write.parquet(landing)
+    start_refresh(spark, landing, old.schema, root, str(tmp_path / "check"), venues(spark), None, lambda: NOW, log=str(tmp_path / "log")).awaitTermination()
+    table = sinks.current(spark, root)
+    assert sorted(r.name for r in table.collect()) == ["Alpha", "Barn dance", "Beta"]
+    assert table.select("id").distinct().count() == 3
+    log = {r.venue_id: (r.status, r.events_found, r.events_created) for r in spark.read.parquet(str(tmp_path / "log")).collect()}
+    assert log == {1: ("success", 2, 2), 2: ("success", 1, 1)}
+
+
+def test_a_renamed_row_does_not_lend_its_id(spark):
+    table = stored(spark).limit(0)
+    for hour, rows in enumerate(([dict(name="Alpha", external_id="x1")], [dict(name="Beta", external_id="x1"), dict(name="Alpha", external_id="x2")],
+                                 [dict(name="Beta", external_id="x1"), dict(name="Alpha", external_id="x2")])):
+        table = refresh(table, batch(spark, *rows), venues(spark), None, NOW.date(), NOW + dt.timedelta(hours=hour)).table
+    got = table.collect()
+    assert sorted(r.name for r in got) == ["Alpha", "Beta"] and len({r.id for r in got}) == 2
+
+
 def test_versions_ignore_unfinished_writes(spark, tmp_path):
     root = str(tmp_path / "t")
     sinks.publish(spark.range(3), root, 1)
@@ -119,6 +143,15 @@ def test_feed_runs_three_hours_and_export_two(spark):
     assert "DTSTART;VALUE=DATE:20260401" in out[3]  # midnight is shown as untimed here
 
 
+def test_calendar_files_have_one_envelope(spark, tmp_path):
+    rows = stored(spark, dict(name="A"), dict(name="B", date=D(2026, 4, 2)), dict(name="C", date=D(2026, 4, 3)))
+    sinks.write_feed(sinks.feed_entries(rows, venues(spark), NOW.date()), str(tmp_path / "feed"), "Hall")
+    text = "".join(p.read_bytes().decode() for p in sorted((tmp_path / "feed").glob("part-*")))
+    lines = text.split("\r\n")
+    assert (lines[0], lines[-2], lines[-1]) == ("BEGIN:VCALENDAR", "END:VCALENDAR", "")
+    assert lines.count("BEGIN:VCALENDAR") == 1 and [x for x in lines if x.startswith("SUMMARY")] == ["SUMMARY:A", "SUMMARY:B", "SUMMARY:C"]
+
+
 def test_calendar_json(spark):
     s = stored(spark, dict(name="A", show_min=1200))
     row = sinks.calendar_json(s, venues(spark)).select(
