@@ -8,7 +8,8 @@ joins nothing unless it is nearly all they have. Frequencies are counts of hashe
 all rows in a fixed number of counters; they set the order only, and any order is right.
 
 Candidates are pairs that meet in a column; a pair is dropped where its places in the column
-leave less than its sizes require. The overlap of the others is accumulated exactly. Only
+leave less than its sizes require, or where sketches of the two rows differ in more bits than
+their sizes allow. The overlap of the others is accumulated exactly. Only
 links that can join components are multiplied: each row of a column with the column's first
 one and with its neighbour, then the pairs of a column whose rows still belong to different
 components. Copies and sets that are equal are one node.
@@ -37,6 +38,7 @@ LEAST, MOST = 85, 100       # link: MOST * |x & y| >= LEAST * |x | y|
 CHUNK = 1 << 20             # bytes hashed at once
 SMALLEST = 6                # smaller sets link with equal ones only
 COUNTERS = 1 << 21          # of frequencies: 8 MB, on the driver and each executor
+BITS = 512                  # of the sketch of a set
 COUNTED = 1 << 12           # counters that travel as one row
 U = np.uint64
 _BASE = U(0x9E3779B97F4A7C15)
@@ -164,30 +166,39 @@ def _utf8(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def sketch(grams: np.ndarray) -> np.ndarray:
+    """BITS bits, each set if an n-gram of the set falls on it. Sets differ in at least as many n-grams as these in bits."""
+    at = (_mix(grams) >> U(8)) & U(BITS - 1)
+    out = np.zeros(BITS, bool)
+    out[at.astype(np.int64)] = True
+    return np.packbits(out, bitorder="little").view(np.uint64)
+
+
 def _text_hash() -> Column:
     return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """doc_id, h (of the text), n (set size), node (its set; null if empty), sigs (of the first row of a node in its task)."""
+    """doc_id, h (of the text), n (set size), node (its set; null if empty), sigs and bits (of the first row of a node in its task)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _text_hash().alias("h"))
     counts = docs.sparkSession.sparkContext.broadcast(frequencies(rows.select("text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()      # a set that the task has met emits nothing again
         for b in batches:
-            nodes, sizes, sigs = [], [], []
+            nodes, sizes, sigs, bits = [], [], [], []
             for g in gram_sets(_utf8(b.column("text"))):
                 node = _node(g)
                 nodes.append(node if len(g) else None)
                 sizes.append(len(g))
                 sigs.append(np.zeros(0, np.int64) if node in seen else rarest(g, counts.value).view(np.int64))
+                bits.append(None if node in seen or len(g) < SMALLEST else sketch(g).view(np.int64))
                 seen.add(node)
             ends = np.concatenate(([0], np.cumsum([len(s) for s in sigs]))).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sigs) if sigs else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), lists], names=["doc_id", "h", "n", "node", "sigs"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), lists, pa.array(bits, pa.list_(pa.int64()))], names=["doc_id", "h", "n", "node", "sigs", "bits"])
 
-    return cut_lineage(rows.mapInArrow(run, "doc_id long, h long, n long, node long, sigs array<long>"), "gram-sets")
+    return cut_lineage(rows.mapInArrow(run, "doc_id long, h long, n long, node long, sigs array<long>, bits array<long>"), "gram-sets")
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,6 +286,18 @@ def _product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _bits_allow(n: Column, n2: Column, bits: str, bits2: str) -> Column:
+    """Linked sets differ in at most 15 of 185 of their sizes, so no more bits of their sketches do."""
+    apart = sum((F.bit_count(F.get(bits, F.lit(i)).bitwiseXOR(F.get(bits2, F.lit(i)))) for i in range(BITS // 64)), F.lit(0))
+    return (MOST + LEAST) * apart <= (MOST - LEAST) * (n + n2)
+
+
+def _plausible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs whose sketches do not rule a link out."""
+    both = pairs.join(sketches.toDF("a", "na", "ba"), "a").join(sketches.toDF("b", "nb", "bb"), "b")
+    return both.where(_bits_allow(F.col("na"), F.col("nb"), "ba", "bb")).select("a", "b")
+
+
 def products(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) of ``pairs``, a written table, that link."""
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
@@ -290,23 +313,26 @@ def _pair(x: str, y: str) -> list:
 def node_components(docs: DataFrame, book: DataFrame) -> DataFrame:
     """node, component: of the nodes that link with another one."""
     met = runs(book)
+    sketches = cut_lineage(book.where("bits is not null").groupBy("node").agg(F.first("n").cast("int").alias("n"), F.first("bits").alias("bits")), "gram-bits")
     by_first = met.where(_may_link("n", "at", "first_n", "first_at")).groupBy("node", "first").count()
     # a run's first node, most shared columns first: one likely partner of each node
     likely = by_first.groupBy("node").agg(F.max_by("first", "count").alias("first")).select(*_pair("node", "first")).distinct()
-    links = products(docs, cut_lineage(likely, "gram-likely"))
+    links = products(docs, cut_lineage(_plausible(likely, sketches), "gram-likely"))
     # neighbours in a run that are still apart
     beside = met.where(_may_link("n", "at", "prev_n", "prev_at")).select(*_pair("node", "prev")).distinct()
     found = components(links)
-    apart = cut_lineage(_apart(beside, found).join(likely, ["a", "b"], "left_anti"), "gram-apart")
+    apart = cut_lineage(_plausible(_apart(beside, found).join(likely, ["a", "b"], "left_anti"), sketches), "gram-apart")
     if not apart.isEmpty():
         links = links.unionByName(products(docs, apart))
         found = components(links)
     # what remains: all members of a column whose sets are in several components
     named = _members(met).join(found, "node", "left").withColumn("c", F.coalesce("component", "node"))
     mixed = named.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("sig")
-    rest = cut_lineage(named.join(mixed, "sig").select("sig", "node", "n", "at", "c"), "gram-mixed")
-    other = rest.select("sig", *(F.col(c).alias(c + "2") for c in ("node", "n", "at", "c")))
-    left = rest.join(other, "sig").where((F.col("c") < F.col("c2")) & _may_link("n", "at", "n2", "at2")).select(*_pair("node", "node2")).distinct()
+    rest = named.join(mixed, "sig").select("sig", "node", "n", "at", "c").join(sketches.select("node", "bits"), "node")
+    rest = cut_lineage(rest, "gram-mixed")
+    other = rest.select("sig", *(F.col(c).alias(c + "2") for c in ("node", "n", "at", "c", "bits")))
+    near = _may_link("n", "at", "n2", "at2") & _bits_allow(F.col("n"), F.col("n2"), "bits", "bits2")
+    left = rest.join(other, "sig").where((F.col("c") < F.col("c2")) & near).select(*_pair("node", "node2")).distinct()
     left = cut_lineage(left.join(likely, ["a", "b"], "left_anti").join(apart, ["a", "b"], "left_anti"), "gram-rest")
     if not left.isEmpty():
         links = links.unionByName(products(docs, left))
