@@ -19,8 +19,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes under a string that occurs twice go; a document of which no word is left goes."""
-    return suffixes.cleaned(docs)
+    """Words under a passage of over 50 words, and bytes under a string of 400, that occur twice go; a document of which no word is left goes."""
+    return suffixes.cleaned(docs, (suffixes.WORDS, suffixes.BYTES))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

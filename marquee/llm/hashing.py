@@ -36,13 +36,13 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Prefixes:
-    """Hashes of any part of ``raw`` in constant time."""
+    """Hashes of any part of ``raw`` (bytes, or codes of 64 bits) in constant time."""
 
     def __init__(self, raw: np.ndarray):
         size = 1 << max(16, len(raw).bit_length())
         up, self.down = _powers(size)
         with np.errstate(over="ignore"):
-            self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(CODES[raw] * up[: len(raw)])))
+            self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((CODES[raw] if raw.dtype == np.uint8 else raw) * up[: len(raw)])))
 
     def hashed(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):

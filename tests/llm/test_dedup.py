@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from marquee.llm import jaccard, suffixes
 from marquee.llm.hashing import Prefixes
 
@@ -142,3 +144,55 @@ def test_stretches_of_a_text_longer_than_a_chunk(monkeypatch):
     anchors = [dict(zip(np.concatenate([np.arange(s, s + k) for s, k in zip(p[2], p[3])]), np.repeat(p[2] + p[4], p[3]))) for p in (whole, parts[1])]
     assert anchors[0] == anchors[1]
     assert len(parts[0][0]) == 0
+
+
+def unworded(rows, size=51):
+    """Texts without the words under a run of ``size`` words that occurs twice in any text."""
+    texts = [t or "" for _, t, _ in rows]
+    found = [list(re.finditer(r"[^\x20\x09-\x0D]+", t)) for t in texts]
+    runs = [[tuple(w[0] for w in ws[k : k + size]) for k in range(len(ws) - size + 1)] for ws in found]
+    count = Counter(run for each in runs for run in each)
+    out = []
+    for t, ws, each in zip(texts, found, runs):
+        gone = bytearray(len(t))
+        for k, run in enumerate(each):
+            if count[run] > 1:
+                a, b = ws[k].start(), ws[k + size - 1].end()
+                gone[a:b] = b"\1" * (b - a)
+        out.append((bytes(gone), "".join(c for c, g in zip(t, gone) if not g)))
+    return out
+
+
+@pytest.mark.parametrize("seed,hot", [(1, suffixes.HOT), (2, 1)])
+def test_repeats_of_words_equal_brute_force(spark, monkeypatch, seed, hot):
+    monkeypatch.setattr(suffixes, "HOT", hot)
+    rows = awkward(seed)
+    out = suffixes.cleaned(frame(spark, rows), (suffixes.WORDS,))
+    want = Counter((i, rest) for (i, _, _), (gone, rest) in zip(rows, unworded(rows)) if not any(gone) or words(rest))
+    assert Counter((r.doc_id, r.text or "") for r in out.collect()) == want
+
+
+def planted(n_words, seed=12):
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(5))
+    passage = " ".join(word() for _ in range(n_words))
+    return passage, [(i, " ".join(word() for _ in range(60)) + "\n" + passage + "\n" + " ".join(word() for _ in range(70)), "a") for i in (1, 2)]
+
+
+@pytest.mark.parametrize("n_words,stays", [(55, False), (51, False), (50, True)])
+def test_pipeline_cuts_passages_of_over_50_words(spark, n_words, stays):
+    passage, rows = planted(n_words)
+    assert len(passage) < suffixes.LENGTH
+    out = corpus_pipeline.repeated_passages(spark, frame(spark, rows), "").collect()
+    assert len(out) == 2 and all((passage in r.text) == stays for r in out)
+    if not stays:
+        assert {r.text for r in out} == {t.replace(passage, "") for _, t, _ in rows}
+
+
+def test_pipeline_cuts_long_strings_of_few_words(spark):
+    r = random.Random(13)
+    text = lambda k: "".join(r.choice("abcdefghij") for _ in range(k))
+    passage = text(450)
+    rows = [(i, f"{text(30)} {passage} {text(40)}", "a") for i in (1, 2)]
+    out = corpus_pipeline.repeated_passages(spark, frame(spark, rows), "").collect()
+    assert len(out) == 2 and not any(passage in r.text for r in out)
