@@ -1,4 +1,8 @@
-"""N-gram Jaccard join: documents whose sets of word 4-grams overlap by 85 of 100.
+"""N-gram Jaccard join: documents whose sets of word n-grams overlap by a bound.
+
+``linked`` and ``representatives`` take the length of the n-grams and the bound, in 100ths;
+4 and 85 unless said otherwise. All that follows from the bound is derived in ``Link``; the
+numbers below are those of 85.
 
 The document by n-gram incidence matrix is multiplied in blocks of columns, each n-gram a
 column that Spark brings to one place by its hash. Columns are ordered by frequency, the rare
@@ -15,7 +19,7 @@ one and with its neighbour, then the pairs of a column whose rows still belong t
 components. Copies and sets that are equal are one node.
 
 Defined results: a null or blank text has an empty set and links with nothing; a text of
-fewer than four words has one n-gram, itself; repeated rows and equal sets share a component;
+fewer than n words has one n-gram, itself; repeated rows and equal sets share a component;
 null ids take part and never name a component; an empty table gives no rows; other columns
 are not read. Sets are compared by 64-bit hashes of n-grams, sets as a whole by 64 bits.
 """
@@ -23,6 +27,7 @@ are not read. Sets are compared by 64-bit hashes of n-grams, sets as a whole by
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -36,11 +41,28 @@ from .hashing import bitmap
 N = 4
 LEAST, MOST = 85, 100       # link: MOST * |x & y| >= LEAST * |x | y|
 CHUNK = 1 << 20             # bytes hashed at once
-SMALLEST = 6                # smaller sets link with equal ones only
 COUNTERS = 1 << 21          # of frequencies: 8 MB, on the driver and each executor
 BITS = 512                  # of the sketch of a set
 COUNTED = 1 << 12           # counters that travel as one row
 U = np.uint64
+
+
+@dataclass(frozen=True)
+class Link:
+    n: int = N
+    least: int = LEAST
+
+    @property
+    def smallest(self) -> int:
+        """Smaller sets link with equal ones only."""
+        return -(-self.least // (MOST - self.least))
+
+    def first(self, size: int) -> int:
+        """How many of a set's columns, the rarest, hold one that a linked set shares."""
+        return size * (MOST - self.least) // MOST + 1
+
+
+LINK = Link()
 _BASE = U(0x9E3779B97F4A7C15)
 
 
@@ -112,12 +134,12 @@ def _places(grams: np.ndarray) -> np.ndarray:
     return (grams >> U(64 - COUNTERS.bit_length() + 1)).astype(np.int64)
 
 
-def _tallies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _tallies(batches: Iterator[pa.RecordBatch], link: Link) -> Iterator[pa.RecordBatch]:
     """The task's number of sets by counter, in blocks of counters."""
     total = np.zeros(COUNTERS, np.int64)
     seen: set[int] = set()
     for b in batches:
-        for g in gram_sets(_utf8(b.column("text"))):
+        for g in gram_sets(_utf8(b.column("text")), link.n):
             node = _node(g)
             if node not in seen:
                 seen.add(node)
@@ -136,23 +158,23 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.int64()), pa.array([c.astype(np.uint32).tobytes() for c in held.values()], pa.binary())], names=["block", "counts"])
 
 
-def frequencies(texts: DataFrame) -> np.ndarray:
+def frequencies(texts: DataFrame, link: Link = LINK) -> np.ndarray:
     """In how many sets the n-grams of each counter are, over all rows: COUNTERS numbers, whatever the input."""
     kinds = "block long, counts binary"
-    found = texts.mapInArrow(_tallies, kinds).repartition("block").mapInArrow(_added, kinds).toPandas()
+    found = texts.mapInArrow(lambda batches: _tallies(batches, link), kinds).repartition("block").mapInArrow(_added, kinds).toPandas()
     total = np.zeros((COUNTERS // COUNTED, COUNTED), np.uint32)
     for block, counts in zip(found["block"], found["counts"]):
         total[block] = np.frombuffer(counts, np.uint32)
     return total.ravel()
 
 
-def rarest(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
+def rarest(grams: np.ndarray, counts: np.ndarray, link: Link = LINK) -> np.ndarray:
     """The n-grams of a set that a linked one may meet first, in the order of frequency and hash."""
     n = len(grams)
-    if n < SMALLEST:
+    if n < link.smallest:
         return grams[:0]
     order = (counts[_places(grams)].astype(np.uint64) << U(32)) | (_mix(grams) >> U(32))
-    length = n * (MOST - LEAST) // MOST + 1
+    length = link.first(n)
     first = np.argpartition(order, length - 1)[:length] if length < n else np.arange(n)
     return grams[first[np.lexsort((grams[first], order[first]))]]
 
@@ -178,21 +200,21 @@ def _text_hash() -> Column:
     return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
-def described(docs: DataFrame) -> DataFrame:
+def described(docs: DataFrame, link: Link = LINK) -> DataFrame:
     """doc_id, h (of the text), n (set size), node (its set; null if empty), sigs and bits (of the first row of a node in its task)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _text_hash().alias("h"))
-    counts = docs.sparkSession.sparkContext.broadcast(frequencies(rows.select("text")))
+    counts = docs.sparkSession.sparkContext.broadcast(frequencies(rows.select("text"), link))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()      # a set that the task has met emits nothing again
         for b in batches:
             nodes, sizes, sigs, bits = [], [], [], []
-            for g in gram_sets(_utf8(b.column("text"))):
+            for g in gram_sets(_utf8(b.column("text")), link.n):
                 node = _node(g)
                 nodes.append(node if len(g) else None)
                 sizes.append(len(g))
-                sigs.append(np.zeros(0, np.int64) if node in seen else rarest(g, counts.value).view(np.int64))
-                bits.append(None if node in seen or len(g) < SMALLEST else sketch(g).view(np.int64))
+                sigs.append(np.zeros(0, np.int64) if node in seen else rarest(g, counts.value, link).view(np.int64))
+                bits.append(None if node in seen or len(g) < link.smallest else sketch(g).view(np.int64))
                 seen.add(node)
             ends = np.concatenate(([0], np.cumsum([len(s) for s in sigs]))).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sigs) if sigs else np.zeros(0, np.int64)))
@@ -201,7 +223,7 @@ def described(docs: DataFrame) -> DataFrame:
     return cut_lineage(rows.mapInArrow(run, "doc_id long, h long, n long, node long, sigs array<long>, bits array<long>"), "gram-sets")
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _runs(batches: Iterator[pa.RecordBatch], link: Link) -> Iterator[pa.RecordBatch]:
     """From rows sorted by sig, n and node: each set after the first of its sig, with the previous one.
 
     ``first`` is the first set of the sig in the same band of sizes. Only the last row met is
@@ -212,7 +234,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s, n, at, v = (b.column(c).to_numpy() for c in ("sig", "n", "at", "node"))
         if not len(s):
             continue
-        band = np.floor(np.log(n) / np.log(MOST / LEAST)).astype(np.int64)
+        band = np.floor(np.log(n) / np.log(MOST / link.least)).astype(np.int64)
         if last:
             s, n, at, v, band = (np.concatenate(([x], y)) for x, y in zip(last[:5], (s, n, at, v, band)))
         start = np.concatenate(([True], (s[1:] != s[:-1]) | (band[1:] != band[:-1])))
@@ -231,24 +253,24 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _RUN = ["sig", "first_n", "first_at", "first", "prev_n", "prev_at", "prev", "n", "at", "node"]
 
 
-def runs(book: DataFrame) -> DataFrame:
+def runs(book: DataFrame, link: Link = LINK) -> DataFrame:
     """The neighbours in every column of the incidence matrix that several sets have, as far as it is a rare one to them."""
     at = book.select(F.posexplode("sigs").alias("at", "sig"), "node", F.col("n").cast("int").alias("n"))
     at = at.select("sig", "n", "at", "node").repartition("sig").sortWithinPartitions("sig", "n", "node")
     kinds = ", ".join(f"{c} {'int' if c.endswith(('n', 'at')) else 'long'}" for c in _RUN)
-    return cut_lineage(at.mapInArrow(_runs, kinds), "gram-runs")
+    return cut_lineage(at.mapInArrow(lambda batches: _runs(batches, link), kinds), "gram-runs")
 
 
-def _may_link(n: str, at: str, n2: str, at2: str) -> Column:
+def _may_link(n: str, at: str, n2: str, at2: str, link: Link) -> Column:
     """Whether two sets of these sizes may link if what they meet in is the first column they share.
 
     No more than n - at of each can then be shared. Sets that link pass at their first one.
     """
-    bound = LEAST * (F.col(n) + F.col(n2))
-    return ((MOST + LEAST) * (F.col(n) - F.col(at)) >= bound) & ((MOST + LEAST) * (F.col(n2) - F.col(at2)) >= bound)
+    bound = link.least * (F.col(n) + F.col(n2))
+    return ((MOST + link.least) * (F.col(n) - F.col(at)) >= bound) & ((MOST + link.least) * (F.col(n2) - F.col(at2)) >= bound)
 
 
-def sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+def sets_of(docs: DataFrame, nodes: DataFrame, link: Link = LINK) -> DataFrame:
     """node, grams (sorted hashes as bytes), once for each of ``nodes``.
 
     A bitmap of fixed size spares most other texts the shuffle; the join after it is exact.
@@ -258,7 +280,7 @@ def sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for b in batches:
-            grams = [g for g in gram_sets(_utf8(b.column("text"))) if len(g)]
+            grams = [g for g in gram_sets(_utf8(b.column("text")), link.n) if len(g)]
             found = [_node(g) for g in grams]
             out: dict[int, bytes] = {}
             for g, node, may in zip(grams, found, may_hold(np.array(found, np.int64))):
@@ -271,59 +293,59 @@ def sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return cut_lineage(every.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "gram-columns")
 
 
-def _product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _product(batches: Iterator[pa.RecordBatch], link: Link) -> Iterator[pa.RecordBatch]:
     """Accumulates the overlap of each pair and keeps the pairs that link."""
     for b in batches:
         keep = []
         for x, y in zip(b.column("x"), b.column("y")):
             x, y = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
-            if MOST * min(len(x), len(y)) < LEAST * max(len(x), len(y)):
+            if MOST * min(len(x), len(y)) < link.least * max(len(x), len(y)):
                 keep.append(False)
                 continue
             both = np.sort(np.concatenate((x, y)), kind="stable")       # two sorted runs: one merge
             shared = int(np.count_nonzero(both[1:] == both[:-1]))
-            keep.append(MOST * shared >= LEAST * (len(x) + len(y) - shared))
+            keep.append(MOST * shared >= link.least * (len(x) + len(y) - shared))
         yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _bits_allow(n: Column, n2: Column, bits: str, bits2: str) -> Column:
-    """Linked sets differ in at most 15 of 185 of their sizes, so no more bits of their sketches do."""
+def _bits_allow(n: Column, n2: Column, bits: str, bits2: str, link: Link) -> Column:
+    """Linked sets differ in at most 15 of 185 (at the bound 85) of their sizes, so no more bits of their sketches do."""
     apart = sum((F.bit_count(F.get(bits, F.lit(i)).bitwiseXOR(F.get(bits2, F.lit(i)))) for i in range(BITS // 64)), F.lit(0))
-    return (MOST + LEAST) * apart <= (MOST - LEAST) * (n + n2)
+    return (MOST + link.least) * apart <= (MOST - link.least) * (n + n2)
 
 
-def _plausible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+def _plausible(pairs: DataFrame, sketches: DataFrame, link: Link) -> DataFrame:
     """The pairs whose sketches do not rule a link out."""
     both = pairs.join(sketches.toDF("a", "na", "ba"), "a").join(sketches.toDF("b", "nb", "bb"), "b")
-    return both.where(_bits_allow(F.col("na"), F.col("nb"), "ba", "bb")).select("a", "b")
+    return both.where(_bits_allow(F.col("na"), F.col("nb"), "ba", "bb", link)).select("a", "b")
 
 
-def products(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def products(docs: DataFrame, pairs: DataFrame, link: Link = LINK) -> DataFrame:
     """The pairs (a, b) of ``pairs``, a written table, that link."""
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = sets_of(docs, nodes)
+    sets = sets_of(docs, nodes, link)
     wide = pairs.join(sets.toDF("b", "y"), "b").join(sets.toDF("a", "x"), "a").select("a", "b", "x", "y")
-    return cut_lineage(wide.mapInArrow(_product, "a long, b long"), "gram-links")
+    return cut_lineage(wide.mapInArrow(lambda batches: _product(batches, link), "a long, b long"), "gram-links")
 
 
 def _pair(x: str, y: str) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def node_components(docs: DataFrame, book: DataFrame) -> DataFrame:
+def node_components(docs: DataFrame, book: DataFrame, link: Link = LINK) -> DataFrame:
     """node, component: of the nodes that link with another one."""
-    met = runs(book)
+    met = runs(book, link)
     sketches = cut_lineage(book.where("bits is not null").groupBy("node").agg(F.first("n").cast("int").alias("n"), F.first("bits").alias("bits")), "gram-bits")
-    by_first = met.where(_may_link("n", "at", "first_n", "first_at")).groupBy("node", "first").count()
+    by_first = met.where(_may_link("n", "at", "first_n", "first_at", link)).groupBy("node", "first").count()
     # a run's first node, most shared columns first: one likely partner of each node
     likely = by_first.groupBy("node").agg(F.max_by("first", "count").alias("first")).select(*_pair("node", "first")).distinct()
-    links = products(docs, cut_lineage(_plausible(likely, sketches), "gram-likely"))
+    links = products(docs, cut_lineage(_plausible(likely, sketches, link), "gram-likely"), link)
     # neighbours in a run that are still apart
-    beside = met.where(_may_link("n", "at", "prev_n", "prev_at")).select(*_pair("node", "prev")).distinct()
+    beside = met.where(_may_link("n", "at", "prev_n", "prev_at", link)).select(*_pair("node", "prev")).distinct()
     found = components(links)
-    apart = cut_lineage(_plausible(_apart(beside, found).join(likely, ["a", "b"], "left_anti"), sketches), "gram-apart")
+    apart = cut_lineage(_plausible(_apart(beside, found).join(likely, ["a", "b"], "left_anti"), sketches, link), "gram-apart")
     if not apart.isEmpty():
-        links = links.unionByName(products(docs, apart))
+        links = links.unionByName(products(docs, apart, link))
         found = components(links)
     # what remains: all members of a column whose sets are in several components
     named = _members(met).join(found, "node", "left").withColumn("c", F.coalesce("component", "node"))
@@ -331,11 +353,11 @@ def node_components(docs: DataFrame, book: DataFrame) -> DataFrame:
     rest = named.join(mixed, "sig").select("sig", "node", "n", "at", "c").join(sketches.select("node", "bits"), "node")
     rest = cut_lineage(rest, "gram-mixed")
     other = rest.select("sig", *(F.col(c).alias(c + "2") for c in ("node", "n", "at", "c", "bits")))
-    near = _may_link("n", "at", "n2", "at2") & _bits_allow(F.col("n"), F.col("n2"), "bits", "bits2")
+    near = _may_link("n", "at", "n2", "at2", link) & _bits_allow(F.col("n"), F.col("n2"), "bits", "bits2", link)
     left = rest.join(other, "sig").where((F.col("c") < F.col("c2")) & near).select(*_pair("node", "node2")).distinct()
     left = cut_lineage(left.join(likely, ["a", "b"], "left_anti").join(apart, ["a", "b"], "left_anti"), "gram-rest")
     if not left.isEmpty():
-        links = links.unionByName(products(docs, left))
+        links = links.unionByName(products(docs, left, link))
         found = components(links)
     return found
 
@@ -350,20 +372,20 @@ def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
     return both.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
-def _grouped(docs: DataFrame) -> DataFrame:
+def _grouped(docs: DataFrame, link: Link) -> DataFrame:
     """doc_id, h, n and ``at``, the group of linked rows (null for an empty set)."""
-    book = described(docs)
-    rows = book.select("doc_id", "h", "n", "node").join(node_components(docs, book), "node", "left")
+    book = described(docs, link)
+    rows = book.select("doc_id", "h", "n", "node").join(node_components(docs, book, link), "node", "left")
     return rows.select("doc_id", "h", "n", F.coalesce("component", "node").alias("at"))
 
 
-def linked(docs: DataFrame) -> DataFrame:
+def linked(docs: DataFrame, n: int = N, least: int = LEAST) -> DataFrame:
     """doc_id, n_shingles, component_id: one row per row of ``docs``.
 
     component_id is the smallest doc_id that links reach, the row's own included (null only
     where all reached ids are null).
     """
-    rows = _grouped(docs)
+    rows = _grouped(docs, Link(n, least))
     least = rows.where("at is not null").groupBy("at").agg(F.min("doc_id").alias("low"))
     # blank rows have no group: they are spread by their ids
     spread = F.when(F.col("at").isNull(), F.pmod(F.xxhash64("doc_id"), F.lit(1024))).otherwise(F.lit(0))
@@ -371,12 +393,12 @@ def linked(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("at").isNull(), F.col("doc_id")).otherwise(F.col("low")).alias("component_id"))
 
 
-def representatives(docs: DataFrame) -> DataFrame:
+def representatives(docs: DataFrame, n: int = N, least: int = LEAST) -> DataFrame:
     """The rows of ``docs`` without those that link to one with a smaller id (null ids last), repeated rows once.
 
     Rows with an empty set link with nothing and all stay.
     """
-    rows = cut_lineage(_grouped(docs).where("at is not null").select("doc_id", "h", "at"), "gram-groups")
+    rows = cut_lineage(_grouped(docs, Link(n, least)).where("at is not null").select("doc_id", "h", "at"), "gram-groups")
     first = rows.groupBy("at").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")).alias("first"))
     gone = rows.join(first, "at").where(~(F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.h") == F.col("h")))).select("doc_id", "h").distinct()
     twice = rows.groupBy("doc_id", "h").count().where("count > 1").select("doc_id", "h")

@@ -196,3 +196,40 @@ def test_pipeline_cuts_long_strings_of_few_words(spark):
     rows = [(i, f"{text(30)} {passage} {text(40)}", "a") for i in (1, 2)]
     out = corpus_pipeline.repeated_passages(spark, frame(spark, rows), "").collect()
     assert len(out) == 2 and not any(passage in r.text for r in out)
+
+
+def edited(n_words, at, seed=14):
+    r = random.Random(seed)
+    text = [f"{r.choice('abcdef')}{i}" for i in range(n_words)]
+    return " ".join(text), " ".join("edited" + str(i) if i in at else w for i, w in enumerate(text))
+
+
+def similarity(x, y, n):
+    x, y = (frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) for w in (words(x), words(y)))
+    return len(x & y) / len(x | y)
+
+
+def test_pipeline_drops_near_copies_at_5_words_and_80(spark):
+    x, y = edited(98, (30, 60))
+    far, apart = edited(98, (20, 40, 60), 15)
+    assert similarity(x, y, 5) >= 0.8 and similarity(x, y, 4) < 0.85 and similarity(far, apart, 5) < 0.8
+    out = corpus_pipeline.near_duplicates(spark, frame(spark, [(1, x, "a"), (2, y, "a"), (3, far, "a"), (4, apart, "a")]), "")
+    assert sorted(r.doc_id for r in out.collect()) == [1, 3, 4]
+
+
+@pytest.mark.parametrize("n,least", [(5, 80), (3, 60)])
+def test_components_at_other_bounds_equal_brute_force(spark, n, least):
+    rows = awkward(3) + [(200 + k, text, "a") for k in range(12) for text in edited(40 + 5 * k, (15, 30), 20 + k)]
+    rows += [(300 + k, " ".join("pqrstuvwxyz"[: n + k]), "a") for k in range(6)]
+    sets = [frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)] if w else []) for w in (words((t or "").translate({i: i + 32 for i in range(65, 91)})) for _, t, _ in rows)]
+    of = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= least * len(sets[i] | sets[j]):
+                of = [of[j] if g == of[i] else g for g in of]
+    low = {}
+    for (i, _, _), g in zip(rows, of):
+        low[g] = min([x for x in (low.get(g), i) if x is not None], default=None)
+    want = sorted(((i, len(s), low[g]) for (i, _, _), s, g in zip(rows, sets, of)), key=lambda r: tuple((x is None, x) for x in r))
+    assert collected(jaccard.linked(frame(spark, rows), n, least), "doc_id", "n_shingles", "component_id") == want
