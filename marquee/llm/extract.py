@@ -4,11 +4,12 @@ A page is reduced to lines, one for each block of text, in page order. What the
 itself marks as no article (menus, headers and footers of the page, side bars, notices,
 adverts, forms, scripts, reader comments) leaves a gap of empty lines. Text lengths are
 summed over a sliding window of lines; text surges where the sum rises from zero and dives
-where it returns to it. The lines between a surge and its dive are kept when the block
-lies in the article element, or, on a page without one, when its sum reaches ``SURGE``
-and most of it is not link text.
+where it returns to it. Lines in the article element are kept. On a page without one, a
+surge is content when less than half of what comes before its dive is link text, and every
+line from the first to the last such surge is kept, however short its block; what goes are
+blocks of links before and after them.
 
-Defined results: a null or empty page, or one without such a block, gives an empty text;
+Defined results: a null or empty page, or one without such a surge, gives an empty text;
 unclosed and stray tags are closed by what encloses them; repeated rows are extracted each;
 other columns are not read.
 """
@@ -23,7 +24,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 WINDOW = 3
-SURGE = 80
 TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*+)>|<[!?/][^>]*>|<[A-Za-z][^>]*>""", re.S,
 )
@@ -141,8 +141,9 @@ def main_text(page: str | None) -> str:
         rows = [r if r[2] else ("", 0, False) for r in rows]
     sizes = [len(t) for t, _, _ in rows]
     window = [sum(sizes[max(0, i - WINDOW + 1) : i + 1]) for i in range(len(rows))]
-    kept: list[str] = []
-    i = 0
+    if article:
+        return "\n".join(t for t, _, _ in rows if t)
+    first = last = i = 0        # the first surge of content and the last dive
     while i < len(rows):
         if not sizes[i]:
             i += 1
@@ -150,12 +151,10 @@ def main_text(page: str | None) -> str:
         end = i
         while end < len(rows) and window[end]:
             end += 1
-        block = [r for r in rows[i:end] if r[0]]
-        links, total = sum(r[1] for r in block), sum(len(r[0]) for r in block)
-        if article or (max(window[i:end]) >= SURGE and 2 * links < total):
-            kept += [r[0] for r in block]
+        if 2 * sum(r[1] for r in rows[i:end]) < sum(sizes[i:end]):
+            first, last = first if last else i, end
         i = end
-    return "\n".join(kept)
+    return "\n".join(t for t, _, _ in rows[first:last] if t)
 
 
 def extracted(pages: DataFrame) -> DataFrame:

@@ -134,6 +134,22 @@ def test_main_text(page, want):
     assert extract.main_text(page) == want
 
 
+STORY = ("The story goes on and on with many words. " * 4).strip()
+
+
+@pytest.mark.parametrize("page,want", [
+    ("<body><p>A short page.</p></body>", "A short page."),
+    (f"<body><h1>Top</h1><div class='share'>Post it</div>{ARTICLE}</body>", f"Top\n{STORY}"),
+    (f"<body>{ARTICLE}<div class='ad'>Buy</div><p>The end.</p></body>", f"{STORY}\nThe end."),
+    (f"<body><h1>Top</h1><div class='ad'>Buy</div><p>Short.</p><div class='ad'>Buy</div>{ARTICLE}</body>", f"Top\nShort.\n{STORY}"),
+    (f"<body>{ARTICLE}<div class='ad'>Buy</div><p><a href='/x'>The whole report</a></p><div class='ad'>Buy</div>{ARTICLE}</body>", f"{STORY}\nThe whole report\n{STORY}"),
+    (f"<body><div><a href='/'>Home</a> <a href='/x'>News</a></div><div class='ad'>Buy</div>{ARTICLE}</body>", STORY),
+    ("<body><nav>Menu</nav><footer>end</footer></body>", ""),
+])
+def test_main_text_without_an_article_element(page, want):
+    assert extract.main_text(page) == want
+
+
 def test_extraction_of_a_table(spark):
     kind = "page_id long, url string, html string, text string, n_chars int"
     rows = [(1, "u", f"<article>{ARTICLE * 3000}</article>", "x", 1), (1, "u", "<article><p>é</p></article>", "x", 1), (None, None, None, None, None)]
