@@ -27,8 +27,8 @@ WINDOW = 3
 TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*+)>|<[!?/][^>]*>|<[A-Za-z][^>]*>""", re.S,
 )
-HINT = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
-HIDDEN = re.compile(r"""\bhidden\b|\bdisplay\s*:\s*none\b|\baria-hidden\s*=\s*["']?true""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
+UNSEEN = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 OUTSIDE = frozenset("nav aside form footer button select dialog menu head svg math object canvas audio video fieldset label".split())
@@ -43,13 +43,36 @@ MARKS = frozenset(
     "notice notices cookie cookies consent gdpr popup modal overlay alert newsletter subscribe subscription signup login share sharing social related "
     "recommended recommendations pagination pager skip search form complementary contentinfo copyright legal tags".split()
 )
+#: In a compound with one of these a mark word tells of a state or layout (has-sidebar, comments-open).
+STATES = frozenset("has have with without no not layout open closed enabled disabled".split())
+#: A header of one of these is a headline's (entry-header), not the page's.
+HEADED = frozenset("entry post article story content page section headline title".split())
 PARAGRAPHS = frozenset("p li dt dd tr td th".split())
 
 
-def _marked(attrs: str) -> bool:
-    if HIDDEN.search(attrs):
+def _marked(tag: str, attrs: str) -> bool:
+    """Whether attributes hide an element or mark it as no article.
+
+    On article and main a name of class, id or role marks as a whole only, not by a word in it.
+    """
+    if not attrs:
+        return False
+    given: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(attrs):
+        given.setdefault(m[1].lower(), html.unescape((m[2] or "").strip("\"'")))
+    if "hidden" in given or given.get("aria-hidden", "").strip().lower() == "true" or UNSEEN.search(given.get("style", "")):
         return True
-    return any(w in MARKS for m in HINT.finditer(attrs) for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", m[1]).lower()))
+    for name in " ".join(given.get(k, "") for k in ("class", "id", "role")).split():
+        if name.lower() in MARKS:
+            return True
+        if tag in ("article", "main"):
+            continue
+        words = set(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()))
+        if words & STATES:
+            continue
+        if words & MARKS - (frozenset(["header"]) if words & HEADED else frozenset()):
+            return True
+    return False
 
 
 def lines(page: str) -> list[tuple[str, int, bool]]:
@@ -113,7 +136,7 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
             pop()
         if tag in VOID or m["attrs"].endswith("/"):
             continue
-        marked = _marked(m["attrs"])
+        marked = _marked(tag, m["attrs"])
         if tag in ("article", "main", "body") and not marked and not seen_article:
             # an advert or menu left open does not swallow the article
             while shut:

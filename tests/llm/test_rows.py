@@ -150,6 +150,34 @@ def test_main_text_without_an_article_element(page, want):
     assert extract.main_text(page) == want
 
 
+@pytest.mark.parametrize("attrs", [
+    'class="overflow-hidden"', 'style="overflow:hidden"', 'aria-hidden="false"', 'title="display:none"', 'data-hidden="x"', 'class="has-sidebar"', 'class="layout-with-sidebar"',
+    'class="entry-header"', 'data-class="sidebar"', 'title=\'class="ad"\'', 'class="post-12 comments-open"',
+])
+def test_words_in_attributes_that_shut_nothing_out(attrs):
+    assert extract.main_text(f"<body><div {attrs}><h1>Top</h1>{ARTICLE}</div></body>") == f"Top\n{STORY}"
+    assert extract.main_text(f"<article><div {attrs}><h1>Top</h1></div>{ARTICLE}</article>") == f"Top\n{STORY}"
+
+
+@pytest.mark.parametrize("attrs", [
+    "hidden", 'HIDDEN=""', 'class="x" hidden', 'aria-hidden="true"', "aria-hidden=true", 'style="color:red; display : none"', 'class="ad"', 'class="x sidebar"', 'id="site-footer"', 'class="navBar"',
+    'class="site-header"', 'role="complementary"', 'class="ad-slot"', 'class="related-posts"',
+])
+def test_attributes_that_shut_out(attrs):
+    assert extract.main_text(f"<article><p>kept</p><div {attrs}>gone</div><p>too</p></article>") == "kept\ntoo"
+
+
+@pytest.mark.parametrize("page,want", [
+    ("<article class='post has-sidebar'><p>kept</p></article>", "kept"),
+    ("<main id='sidebar-main'><p>kept</p></main>", "kept"),
+    ("<div class='sidebar-right'><article><p>kept</p></article></div>", "kept"),
+    ("<article><p>By the <a href='/hidden-lake'>hidden lake</a> we sat.</p></article>", "By the hidden lake we sat."),
+    ("<article><p>kept</p></article><article class='comment'><p>gone</p></article>", "kept"),
+])
+def test_articles_and_links_that_stay(page, want):
+    assert extract.main_text(page) == want
+
+
 def test_extraction_of_a_table(spark):
     kind = "page_id long, url string, html string, text string, n_chars int"
     rows = [(1, "u", f"<article>{ARTICLE * 3000}</article>", "x", 1), (1, "u", "<article><p>é</p></article>", "x", 1), (None, None, None, None, None)]
