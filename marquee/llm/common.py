@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from marquee.session import cut_lineage, scratch_root
 
-__all__ = ["SPACE", "cut_lineage", "digits53", "scratch_root", "table", "text_of", "words"]
+__all__ = ["SPACE", "cut_lineage", "digits53", "scratch_root", "table", "text_of", "until", "words"]
 
 SPACE = r"[\x20\x09-\x0D]"
 
@@ -22,6 +22,11 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def until(text: Column, mark: Column, count: int) -> Column:
+    """``substring_index`` with a column for the mark: what is before the first one (1) or after the last (-1)."""
+    return F.call_function("substring_index", text, mark, F.lit(count))
+
+
 def words(text: Column) -> Column:
     """The maximal runs of characters other than the six ASCII blanks."""
     bare = F.btrim(text, F.lit(" \t\n\x0b\f\r"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import extract, jaccard, mixing, neighbours, packing, quality, rules, sharding, suffixes, toxicity
+from . import bpe, extract, fim, jaccard, mixing, neighbours, packing, quality, rules, sharding, suffixes, toxicity
 from .common import table
 
 SHARDS = 40
@@ -57,9 +57,21 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extracted(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_best_fit_packing, op3_ngram_jaccard, op4_quality_rules, op5_toxicity, op6_sharding, op7_quality_classifier, op8_nearest_neighbours, op9_source_mixing, op10_html_extraction)}
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digest(fim.transformed(table(spark, sf_dir, "documents")))
+
+
+def op12_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    vocab = bpe.vocabulary(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe.digest(bpe.encoded(table(spark, sf_dir, "documents"), vocab), vocab)
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_best_fit_packing, op3_ngram_jaccard, op4_quality_rules, op5_toxicity, op6_sharding, op7_quality_classifier, op8_nearest_neighbours, op9_source_mixing, op10_html_extraction, op11_fill_in_middle, op12_byte_level_bpe)}
 
 ORACLE = {
+    "op11_fill_in_middle": fim.DIGEST_SQL,
     "op4_quality_rules": "WITH " + rules.LEDGER_CTES.format(src="documents") + f"""
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failures & {rules.BASE.mask}) <> 0 AS base_failed,
   (failures & {rules.CURRENT.mask}) = 0 AS kept, failures FROM ({rules.LEDGER_SQL})
