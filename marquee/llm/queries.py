@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, extract, fim, jaccard, mixing, neighbours, packing, quality, rules, sharding, suffixes, toxicity
+from . import bpe, conversations, extract, fim, jaccard, mixing, neighbours, packing, quality, rules, sharding, suffixes, toxicity
 from .common import table
 
 SHARDS = 40
@@ -68,7 +68,11 @@ def op12_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.encoded(table(spark, sf_dir, "documents"), vocab), vocab)
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_best_fit_packing, op3_ngram_jaccard, op4_quality_rules, op5_toxicity, op6_sharding, op7_quality_classifier, op8_nearest_neighbours, op9_source_mixing, op10_html_extraction, op11_fill_in_middle, op12_byte_level_bpe)}
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.digest(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_best_fit_packing, op3_ngram_jaccard, op4_quality_rules, op5_toxicity, op6_sharding, op7_quality_classifier, op8_nearest_neighbours, op9_source_mixing, op10_html_extraction, op11_fill_in_middle, op12_byte_level_bpe, op13_conversation_repair)}
 
 ORACLE = {
     "op11_fill_in_middle": fim.DIGEST_SQL,
