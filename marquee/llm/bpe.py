@@ -9,9 +9,9 @@ of the piece with its right neighbour, the byte at which it starts, and its id,
 each with the keys of a few pairs and the ids they merge to.
 
 The distinct words of all texts are counted first. The most frequent ones, WORDS at most and
-of WORD_BYTES at most, are folded once and become a second literal, a dictionary; every text
-looks its words up there and folds those that are not in it. The dictionary spares work only:
-ids do not depend on it. Both literals are bounded, by the vocabulary and by WORDS.
+of WORD_BYTES at most, are folded once into a dictionary, one value that every task gets; every
+text looks its words up there and folds those that are not in it. The dictionary spares work
+only: ids do not depend on it. The vocabulary and WORDS bound both.
 
 Everything runs in Spark's own functions: a text never leaves the JVM and nothing but the words
 is shuffled. Decoding joins the pieces of the ids.
@@ -218,28 +218,37 @@ def _bucket(word: Column) -> Column:
     return F.crc32(word.cast("binary")).bitwiseAND(_long(WORD_BUCKETS - 1)).cast("int")
 
 
-def dictionary(docs: DataFrame, vocab: Vocabulary, pattern: str, most: int = WORDS) -> Column:
-    """A literal: buckets of words and their ids. It holds the frequent words, and those that no merges give."""
+def _characters(vocab: Vocabulary) -> Column:
+    """A literal: the character that stands for each id in the dictionary."""
+    return F.from_json(F.lit(json.dumps([chr(CHAR + i) for i in range(max(vocab.ranks.values()) + 1)], ensure_ascii=False)), "array<string>")
+
+
+def _written(ids: Column, m: Column) -> Column:
+    return F.array_join(F.transform(ids, lambda i: F.get(m["chars"], i)), "")
+
+
+def dictionary(docs: DataFrame, vocab: Vocabulary, pattern: str, most: int = WORDS) -> DataFrame:
+    """One row, ``words``: buckets of words, each with its ids as characters.
+
+    It holds the frequent words, and those tokens that merges from their bytes do not give.
+    """
     spark = docs.sparkSession
-    tokens = spark.createDataFrame([(bytearray(t), i) for t, i in vocab.ranks.items()], "word binary, id int")
-    ids = lambda word: _bind(rank_map(vocab), lambda m: fold(word, m))      # noqa: E731
-    odd = tokens.repartition(spark.sparkContext.defaultParallelism).where(F.get(ids(F.col("word")), F.lit(0)) != F.col("id")).collect()
-    known = {r.word.decode(): [r.id] for r in odd if _is_text(r.word)}
-    for r in _frequent(docs, pattern, most).select("word", ids(F.col("word").cast("binary")).alias("ids")).toLocalIterator():
-        direct = vocab.ranks.get(r.word.encode())
-        known[r.word] = r.ids if direct is None else [direct]
-    buckets: list[list[str]] = [[] for _ in range(WORD_BUCKETS)]
-    from zlib import crc32
-
-    for word, found in known.items():
-        buckets[crc32(word.encode()) & (WORD_BUCKETS - 1)].append(word + "\1" + "".join(chr(CHAR + i) for i in found))
-    text = json.dumps(["\0" + "\0".join(b) + "\0" for b in buckets], ensure_ascii=False, separators=(",", ":"))
-    return F.from_json(F.lit(text), "array<string>")
+    literal = F.struct(rank_map(vocab).alias("ranks"), _characters(vocab).alias("chars"))
+    folded = lambda word: _bind(literal, lambda m: _written(fold(word, m["ranks"]), m))     # noqa: E731
+    frequent = _frequent(docs, pattern, most).select("word", folded(F.col("word").cast("binary")).alias("value"), F.lit(0).alias("odd"))
+    tokens = [(bytearray(t), t.decode(), chr(CHAR + i)) for t, i in vocab.ranks.items() if _is_text(t)]
+    tokens = spark.createDataFrame(tokens, "raw binary, word string, value string").repartition(spark.sparkContext.defaultParallelism)
+    odd = tokens.where(folded(F.col("raw")) != F.col("value")).select("word", "value", F.lit(1).alias("odd"))
+    cells = F.sort_array(F.collect_list(F.struct("odd", "word", "value")))      # of two entries for a word the last is found
+    filled = frequent.unionByName(odd).groupBy(_bucket(F.col("word")).cast("long").alias("id")).agg(cells.alias("cells"))
+    filled = filled.select("id", F.array_join(F.transform("cells", lambda c: F.concat(c["word"], F.lit("\1"), c["value"], F.lit("\0"))), "").alias("text"))
+    every = spark.range(WORD_BUCKETS).join(filled, "id", "left").select("id", F.concat(F.lit("\0"), F.coalesce("text", F.lit(""))).alias("text"))
+    return every.agg(F.transform(F.sort_array(F.collect_list(F.struct("id", "text"))), lambda c: c["text"]).alias("words"))
 
 
 def _is_text(word: bytes) -> bool:
     try:
-        return not {"\0", "\1"} & set(bytes(word).decode())
+        return not {"\0", "\1"} & set(word.decode())
     except UnicodeDecodeError:
         return False
 
@@ -247,25 +256,24 @@ def _is_text(word: bytes) -> bool:
 def encoded(docs: DataFrame, vocab: Vocabulary, most: int = WORDS) -> DataFrame:
     """doc_id and ids (array of numbers) of every row. ``most``: entries of the dictionary."""
     pattern = jvm_pattern(docs.sparkSession, vocab.pattern)
-    chars = F.from_json(F.lit(json.dumps([chr(CHAR + i) for i in range(max(vocab.ranks.values()) + 1)], ensure_ascii=False)), "array<string>")
-    literal = F.struct(rank_map(vocab).alias("ranks"), dictionary(docs, vocab, pattern, most).alias("words"), chars.alias("chars"))
+    # a subquery is no argument of a higher-order function, so it is a column first; it is one object, not a copy for each row
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), dictionary(docs, vocab, pattern, most).scalar().alias("known"))
+    literal = F.struct(rank_map(vocab).alias("ranks"), F.col("known").alias("words"), _characters(vocab).alias("chars"))
 
     def ids(m: Column) -> Column:
         def held(word: Column) -> Column:       # empty if the dictionary has no such word
             tail = until(F.get(m["words"], _bucket(word)), F.concat(F.lit("\0"), word, F.lit("\1")), -1)
             return until(tail, F.lit("\0"), 1)
 
-        def merged(word: Column) -> Column:
-            return F.array_join(F.transform(fold(word.cast("binary"), m["ranks"]), lambda i: F.get(m["chars"], i)), "")
-
         def each(words: Column) -> Column:
             found = F.transform(words, held)
-            return F.transform(found, lambda v, i: F.when((v == "") | F.contains(F.get(words, i), F.lit("\0")), merged(F.get(words, i))).otherwise(v))
+            again = lambda word: _written(fold(word.cast("binary"), m["ranks"]), m)     # noqa: E731
+            return F.transform(found, lambda v, i: F.when((v == "") | F.contains(F.get(words, i), F.lit("\0")), again(F.get(words, i))).otherwise(v))
 
-        return F.array_join(_bind(split(text_of(), pattern), each), "")
+        return F.array_join(_bind(split(F.col("text"), pattern), each), "")
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _bind(literal, ids).alias("text"))
-    return rows.select("doc_id", F.when(F.col("text") == "", F.array().cast("array<int>")).otherwise(
+    return rows.select("doc_id", _bind(literal, ids).alias("text")).select(
+        "doc_id", F.when(F.col("text") == "", F.array().cast("array<int>")).otherwise(
         F.transform(F.split("text", ""), lambda c: F.ascii(c) - F.lit(CHAR))).alias("ids"))
 
 
