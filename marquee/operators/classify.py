@@ -72,14 +72,15 @@ def rule_reason(name: Column | str, genre: Column | str, subgenre: Column | str,
 
 def classify(listings: DataFrame, overrides: DataFrame | None = None, venues: DataFrame | None = None, *,
              exempt_slugs: Sequence[str] = ALWAYS_LIVE_VENUES, rules: Rules = Rules(),
-             threshold: int = RECURRENCE_THRESHOLD) -> DataFrame:
+             threshold: int = RECURRENCE_THRESHOLD, series: DataFrame | None = None) -> DataFrame:
     """``(id, is_live_music, classification_reason)`` for rows without a person's verdict.
 
     Layers, strongest first: series override, always-live venue, recurrence, rules.
-    Recurrence counts every listing passed in, also those a person has judged.
+    Recurrence counts every listing passed in, also those a person has judged; ``series``
+    (venue_id, series_key, n_dates) names the recurring series where they are known already.
     """
     rows = listings.withColumn("_key", series_key("name"))
-    found = recurring_series(listings, threshold).select(
+    found = (recurring_series(listings, threshold) if series is None else series).select(
         "venue_id", F.col("series_key").alias("_key"), F.col("n_dates").alias("_dates")
     )
     rows = rows.where(~is_true("is_manual_override")).join(found, ["venue_id", "_key"], "left")

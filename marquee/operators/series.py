@@ -18,7 +18,11 @@ def series_dates(listings: DataFrame, gap_days: int = RUN_GAP_DAYS) -> DataFrame
     Rows are reduced to distinct dates before the window, so a series' window holds
     at most one row per calendar day however many rows share its key.
     """
-    days = listings.select("venue_id", series_key("name").alias("series_key"), "date").distinct()
+    return occasions(listings.select("venue_id", series_key("name").alias("series_key"), "date").distinct(), gap_days)
+
+
+def occasions(days: DataFrame, gap_days: int = RUN_GAP_DAYS) -> DataFrame:
+    """:func:`series_dates` from distinct ``(venue_id, series_key, date)``."""
     w = Window.partitionBy("venue_id", "series_key").orderBy("date")
     gap = F.datediff("date", F.lag("date").over(w))
     return (

@@ -13,6 +13,7 @@ from ..functions.text import blank_to_null, first_nonblank, ical_text, ical_uri
 from ..operators.display import calendar_rows
 from ..operators.enrich import at_venues, with_venue
 from ..operators.filters import live_only, unfolded, upcoming
+from .versions import current, publish, versions  # noqa: F401 - the sinks of tables
 
 ZONE = "America/New_York"
 CRLF = "\r\n"
@@ -36,37 +37,6 @@ def upserted_venues(venues: DataFrame, seeds: DataFrame, discontinued: Sequence[
     return rows.select(*out)
 
 
-# --- versions: a table is swapped by writing a new folder, never by changing one ---
-
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p, jvm.org.apache.hadoop.fs.Path
-
-
-def versions(spark: SparkSession, root: str) -> list[int]:
-    """Complete versions of a table, oldest first. An unfinished write has no success mark."""
-    fs, p, path = _fs(spark, root)
-    if not fs.exists(p):
-        return []
-    names = [(s.getPath().getName(), s.getPath()) for s in fs.listStatus(p)]
-    return sorted(int(n[2:]) for n, at in names if n.startswith("v=") and fs.exists(path(at, "_SUCCESS")))
-
-
-def publish(df: DataFrame, root: str, version: int, partition_by: Sequence[str] = ()) -> None:
-    """Write one version; repeating a version replaces it with the same rows."""
-    w = df.write.mode("overwrite")
-    (w.partitionBy(*partition_by) if partition_by else w).parquet(f"{root}/v={version}")
-
-
-def current(spark: SparkSession, root: str, before: int | None = None) -> DataFrame:
-    """The newest complete version, or the newest one older than ``before``."""
-    known = [v for v in versions(spark, root) if before is None or v < before]
-    if not known:
-        raise FileNotFoundError(f"no complete version under {root}")
-    return spark.read.parquet(f"{root}/v={known[-1]}")
-
-
 def append_run_log(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
