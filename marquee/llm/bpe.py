@@ -8,12 +8,10 @@ of the piece with its right neighbour, the byte at which it starts, and its id,
 ``array_min`` names the next merge. Ranks of pairs come from a literal: an array of buckets,
 each with the keys of a few pairs and the ids they merge to.
 
-The distinct words of all texts are counted first. The most frequent ones, WORDS at most and
-of WORD_BYTES at most, are folded once into a dictionary, one value that every task gets; every
-text looks its words up there and folds those that are not in it. The dictionary spares work
-only: ids do not depend on it. The vocabulary and WORDS bound both.
-
-Everything runs in Spark's own functions: a text never leaves the JVM and nothing but the words
+The distinct words of all texts are counted, and the most frequent ones, WORDS at most and of
+WORD_BYTES at most, are folded once. Their ids are broadcast; tasks look the words of a text up
+and pass on what is known, joined, between the words that are not, which Spark then folds where
+they stand. So the dictionary spares work only: ids do not depend on it. Nothing but the words
 is shuffled. Decoding joins the pieces of the ids.
 
 Defined results: a null or empty text has no ids; repeated rows are encoded each; columns beside
@@ -26,20 +24,21 @@ from __future__ import annotations
 import base64
 import json
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import cut_lineage, text_of, until
+from .common import cut_lineage, text_of
 
-WORDS = 1 << 18             # entries of the dictionary
+WORDS = 1 << 19             # entries of the dictionary
 WORD_BYTES = 64
-PAIR_BUCKETS, WORD_BUCKETS = 1 << 15, 1 << 16
+ROWS = 64                   # texts whose words a task holds at once
+PAIR_BUCKETS = 1 << 15
 ID_BITS, START_BITS = 17, 28
 NONE = 1 << ID_BITS         # stands for the rank of a pair without one
-CHAR = 0x10000              # id i is written as the character CHAR + i in the dictionary
 MOST = 100_000              # counts of words above are equal
 
 
@@ -203,9 +202,9 @@ def counted(docs: DataFrame, pattern: str) -> DataFrame:
 
 
 def _frequent(docs: DataFrame, pattern: str, most: int) -> DataFrame:
-    """The words of the highest counts, ``most`` at most, that the dictionary can hold."""
-    fit = (F.octet_length("word") <= WORD_BYTES) & ~F.contains("word", F.lit("\0")) & ~F.contains("word", F.lit("\1"))
-    words = cut_lineage(counted(docs, pattern).where(fit & (F.col("count") > 1)).withColumn("count", F.least("count", F.lit(MOST))), "bpe-words")
+    """The words of the highest counts, ``most`` at most, of those that are short and not rare."""
+    words = counted(docs, pattern).where((F.octet_length("word") <= WORD_BYTES) & (F.col("count") > 1))
+    words = cut_lineage(words.withColumn("count", F.least("count", F.lit(MOST))), "bpe-words")
     least, taken = MOST + 1, 0
     for count, n in words.groupBy("count").agg(F.count("*")).orderBy(F.desc("count")).collect():    # MOST rows at most
         if taken + n > most:
@@ -214,89 +213,94 @@ def _frequent(docs: DataFrame, pattern: str, most: int) -> DataFrame:
     return words.where(F.col("count") >= least).select("word")
 
 
-def _bucket(word: Column) -> Column:
-    return F.crc32(word.cast("binary")).bitwiseAND(_long(WORD_BUCKETS - 1)).cast("int")
-
-
-def _characters(vocab: Vocabulary) -> Column:
-    """A literal: the character that stands for each id in the dictionary."""
-    return F.from_json(F.lit(json.dumps([chr(CHAR + i) for i in range(max(vocab.ranks.values()) + 1)], ensure_ascii=False)), "array<string>")
-
-
-def _written(ids: Column, m: Column) -> Column:
-    return F.array_join(F.transform(ids, lambda i: F.get(m["chars"], i)), "")
-
+def _literal(vocab: Vocabulary) -> Column:
+    """``rank_map`` with ``names``: each id as 32 bits, least byte first, in hex."""
+    names = [i.to_bytes(4, "little").hex() for i in range(max(vocab.ranks.values()) + 1)]
+    return F.struct(rank_map(vocab).alias("ranks"), F.from_json(F.lit(json.dumps(names, separators=(",", ":"))), "array<string>").alias("names"))
 
-def dictionary(docs: DataFrame, vocab: Vocabulary, pattern: str, most: int = WORDS) -> DataFrame:
-    """One row, ``words``: buckets of words, each with its ids as characters.
 
-    It holds the frequent words, and those tokens that merges from their bytes do not give.
-    """
-    spark = docs.sparkSession
-    literal = F.struct(rank_map(vocab).alias("ranks"), _characters(vocab).alias("chars"))
-    folded = lambda word: _bind(literal, lambda m: _written(fold(word, m["ranks"]), m))     # noqa: E731
-    frequent = _frequent(docs, pattern, most).select("word", folded(F.col("word").cast("binary")).alias("value"), F.lit(0).alias("odd"))
-    tokens = [(bytearray(t), t.decode(), chr(CHAR + i)) for t, i in vocab.ranks.items() if _is_text(t)]
-    tokens = spark.createDataFrame(tokens, "raw binary, word string, value string").repartition(spark.sparkContext.defaultParallelism)
-    odd = tokens.where(folded(F.col("raw")) != F.col("value")).select("word", "value", F.lit(1).alias("odd"))
-    cells = F.sort_array(F.collect_list(F.struct("odd", "word", "value")))      # of two entries for a word the last is found
-    filled = frequent.unionByName(odd).groupBy(_bucket(F.col("word")).cast("long").alias("id")).agg(cells.alias("cells"))
-    filled = filled.select("id", F.array_join(F.transform("cells", lambda c: F.concat(c["word"], F.lit("\1"), c["value"], F.lit("\0"))), "").alias("text"))
-    every = spark.range(WORD_BUCKETS).join(filled, "id", "left").select("id", F.concat(F.lit("\0"), F.coalesce("text", F.lit(""))).alias("text"))
-    return every.agg(F.transform(F.sort_array(F.collect_list(F.struct("id", "text"))), lambda c: c["text"]).alias("words"))
+def _written(word: Column, m: Column) -> Column:
+    """The ids of a word in hex, by merges."""
+    return F.array_join(F.transform(fold(word.cast("binary"), m["ranks"]), lambda i: F.get(m["names"], i)), "")
 
 
 def _is_text(word: bytes) -> bool:
     try:
-        return not {"\0", "\1"} & set(word.decode())
+        return bool(word.decode())
     except UnicodeDecodeError:
         return False
 
 
-def encoded(docs: DataFrame, vocab: Vocabulary, most: int = WORDS) -> DataFrame:
-    """doc_id and ids (array of numbers) of every row. ``most``: entries of the dictionary."""
-    pattern = jvm_pattern(docs.sparkSession, vocab.pattern)
-    # a subquery is no argument of a higher-order function, so it is a column first; it is one object, not a copy for each row
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), dictionary(docs, vocab, pattern, most).scalar().alias("known"))
-    literal = F.struct(rank_map(vocab).alias("ranks"), F.col("known").alias("words"), _characters(vocab).alias("chars"))
-
-    def ids(m: Column) -> Column:
-        def held(word: Column) -> Column:       # empty if the dictionary has no such word
-            tail = until(F.get(m["words"], _bucket(word)), F.concat(F.lit("\0"), word, F.lit("\1")), -1)
-            return until(tail, F.lit("\0"), 1)
-
-        def each(words: Column) -> Column:
-            found = F.transform(words, held)
-            again = lambda word: _written(fold(word.cast("binary"), m["ranks"]), m)     # noqa: E731
-            return F.transform(found, lambda v, i: F.when((v == "") | F.contains(F.get(words, i), F.lit("\0")), again(F.get(words, i))).otherwise(v))
-
-        return F.array_join(_bind(split(F.col("text"), pattern), each), "")
-
-    return rows.select("doc_id", _bind(literal, ids).alias("text")).select(
-        "doc_id", F.when(F.col("text") == "", F.array().cast("array<int>")).otherwise(
-        F.transform(F.split("text", ""), lambda c: F.ascii(c) - F.lit(CHAR))).alias("ids"))
+def dictionary(docs: DataFrame, vocab: Vocabulary, pattern: str, most: int = WORDS) -> dict[str, str]:
+    """Ids in hex of the frequent words, and of the tokens that merges from their bytes do not give."""
+    spark = docs.sparkSession
+    folded = lambda word: _bind(_literal(vocab), lambda m: _written(word, m))       # noqa: E731
+    tokens = [(t.decode(), i.to_bytes(4, "little").hex()) for t, i in vocab.ranks.items() if _is_text(t)]
+    tokens = spark.createDataFrame(tokens, "word string, ids string").repartition(spark.sparkContext.defaultParallelism)
+    known: dict[str, str] = {}
+    for batch in _frequent(docs, pattern, most).select("word", folded(F.col("word")).alias("ids")).toArrow().to_batches(1 << 14):
+        known.update(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+    known.update((r.word, r.ids) for r in tokens.where(folded(F.col("word")) != F.col("ids")).collect())
+    return known
 
 
-def decoded(ids: Column, vocab: Vocabulary) -> Column:
-    """The bytes that ids stand for: their pieces, joined. Unknown ids stand for nothing."""
-    pieces = [""] * (max(vocab.ranks.values()) + 1)
+def encoded(docs: DataFrame, vocab: Vocabulary, most: int = WORDS) -> DataFrame:
+    """doc_id and ids (32 bits each, least byte first) of every row. ``most``: entries of the dictionary."""
+    spark = docs.sparkSession
+    pattern = jvm_pattern(spark, vocab.pattern)
+    shared = spark.sparkContext.broadcast(dictionary(docs, vocab, pattern, most))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = shared.value.get
+        for b in batches:
+            for start in range(0, len(b), ROWS):
+                some = b.slice(start, ROWS)
+                known, rare = [], []
+                for words in some.column("words"):
+                    words = words.values.to_pylist()
+                    ids = list(map(held, words))
+                    gaps = [i for i, x in enumerate(ids) if x is None]
+                    edges = [-1, *gaps, len(ids)]
+                    known.append(["".join(ids[a + 1 : z]) for a, z in zip(edges, edges[1:])])
+                    rare.append([words[i] for i in gaps])
+                kinds = pa.list_(pa.string())
+                yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(known, kinds), pa.array(rare, kinds)], names=["doc_id", "known", "rare"])
+
+    words = docs.select(F.col("doc_id").cast("long").alias("doc_id"), split(text_of(), pattern).alias("words"))
+    parts = words.mapInArrow(run, "doc_id long, known array<string>, rare array<string>")
+    joined = lambda m: F.array_join(        # noqa: E731
+        F.zip_with("known", F.transform("rare", lambda w: _written(w, m)), lambda k, r: F.concat(k, F.coalesce(r, F.lit("")))), "")
+    return parts.select("doc_id", F.unhex(_bind(_literal(vocab), joined)).alias("ids"))
+
+
+def numbers(ids: Column) -> Column:
+    """Packed ids as an array of numbers."""
+    byte = lambda i, k: F.shiftleft(F.conv(F.hex(F.substring(ids, 4 * i + k + 1, F.lit(1))), 16, 10).cast("int"), 8 * k)      # noqa: E731
+    count = F.floor(F.octet_length(ids) / 4).cast("int")
+    every = F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), lambda i: byte(i, 0) + byte(i, 1) + byte(i, 2))
+    return F.when(count == 0, F.array().cast("array<int>")).otherwise(every)
+
+
+def decoded(rows: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """``rows`` with ``text``: the bytes that their packed ``ids`` stand for, the pieces joined. Unknown ids stand for nothing."""
+    pieces = [b""] * NONE
     for piece, i in vocab.ranks.items():
-        pieces[i] = piece.hex()
-    literal = F.from_json(F.lit(json.dumps(pieces, separators=(",", ":"))), "array<string>")
-    return _bind(literal, lambda m: F.unhex(F.array_join(F.transform(ids, lambda i: F.get(m, i)), "")))
+        pieces[i] = piece
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for start in range(0, len(b), ROWS):
+                some = b.slice(start, ROWS)
+                texts = [b"".join([pieces[i] if i < NONE else b"" for i in memoryview(ids.as_buffer()).cast("I")]) for ids in some.column("ids")]
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(texts, pa.binary())], names=[*some.schema.names, "text"])
 
-def packed(ids: Column, vocab: Vocabulary) -> Column:
-    """Ids as unsigned numbers of 32 bits, least byte first."""
-    names = [i.to_bytes(4, "little").hex() for i in range(max(vocab.ranks.values()) + 1)]
-    literal = F.from_json(F.lit(json.dumps(names, separators=(",", ":"))), "array<string>")
-    return _bind(literal, lambda m: F.unhex(F.array_join(F.transform(ids, lambda i: F.get(m, i)), "")))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInArrow(run, f"{schema}, text binary")
 
 
 def digest(rows: DataFrame, vocab: Vocabulary) -> DataFrame:
-    """doc_id, n_tokens and the hashes of ids and of the bytes decoded from them."""
-    ids = F.col("ids")
-    return rows.select(
-        "doc_id", F.size(ids).cast("long").alias("n_tokens"),
-        F.sha2(packed(ids, vocab), 256).alias("ids_sha256"), F.sha2(decoded(ids, vocab), 256).alias("decoded_sha256"),
+    """doc_id, n_tokens and the hashes of the packed ids and of the bytes decoded from them."""
+    return decoded(rows.select("doc_id", "ids"), vocab).select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"),
     )

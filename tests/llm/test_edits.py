@@ -68,8 +68,8 @@ def test_byte_level_bpe(spark, vocab, most):
     known = tiktoken.Encoding("model", pat_str=vocab.pattern, mergeable_ranks=vocab.ranks, special_tokens={})
     want = [(i, known.encode_ordinary(t or "")) for i, t, _ in rows]
     key = lambda r: (r[0] is None, r)       # noqa: E731
-    assert sorted(((r.doc_id, r.ids) for r in out.collect()), key=key) == sorted(want, key=key)
-    back = out.select("doc_id", F.decode(bpe.decoded(F.col("ids"), vocab), "UTF-8").alias("text"))
+    assert sorted((tuple(r) for r in out.select("doc_id", bpe.numbers(F.col("ids"))).collect()), key=key) == sorted(want, key=key)
+    back = bpe.decoded(out, vocab).select("doc_id", F.decode("text", "UTF-8").alias("text"))
     assert sorted((tuple(r) for r in back.collect()), key=key) == sorted(((i, t or "") for i, t, _ in rows), key=key)
     if most:
         assert collected(bpe.digest(out, vocab), "n_tokens", "ids_sha256") == sorted((len(x), sha(np.array(x, "<u4").tobytes())) for _, x in want)
