@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import datetime as dt
 import sys
-from collections import Counter
 from difflib import SequenceMatcher
+from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,7 +21,7 @@ from .joins import is_true
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-BLOCK = 64  # titles per block when a night's titles are compared
+BLOCK = 64  # titles per block where many share a letter
 
 
 def crowded_nights(listings: DataFrame) -> DataFrame:
@@ -35,47 +36,135 @@ def rows_of_nights(listings: DataFrame, nights: DataFrame) -> DataFrame:
     return listings.join(nights, ["venue_id", "date"], "left_semi")
 
 
-@F.pandas_udf(T.DoubleType())
-def _best_ratio(titles: pd.Series) -> pd.Series:
-    """Best similarity among the titles of one block pair.
+SYMBOLS = " abcdefghijklmnopqrstuvwxyz0123456789"
+#: From rare to frequent. Any order gives the same scores; a good one keeps lists short.
+RARE_FIRST = "0123456789zqxjkvbpygfwmucldrhsnioate "
+FOUND = T.StructType([T.StructField("best", T.DoubleType()), T.StructField("pairs", T.LongType())])
+
+
+def _ratio(earlier: str, later: str) -> float:
+    return SequenceMatcher(None, earlier, later).ratio()
+
+
+@F.pandas_udf(FOUND)
+def _neighbour_ratio(titles: pd.Series, others: pd.Series) -> pd.DataFrame:
+    """Similarity of two titles; of a missing one 0."""
+    scores = [_ratio(a, b) if a and b else 0.0 for a, b in zip(titles, others)]
+    return pd.DataFrame({"best": scores, "pairs": [int(bool(a and b)) for a, b in zip(titles, others)]})
+
+
+@F.pandas_udf(FOUND)
+def _tile_best(tiles: pd.Series, floors: pd.Series) -> pd.DataFrame:
+    """The best similarity above ``floor`` (or ``floor``) in each tile, and how many pairs were scored for it.
 
     Each item is (order, title, side); two sides are compared with each other, a single
-    side with itself. Cheap upper bounds skip pairs that cannot beat the best so far.
+    side with itself. The letters two titles have in common bound their similarity. Pairs
+    are taken from the highest bound on; the first bound that is not above the best ends it.
     """
+    place = {c: i for i, c in enumerate(SYMBOLS)}
 
-    def bound(a, b, ca, cb):
-        return 2.0 * sum((ca & cb).values()) / (len(a) + len(b))
-
-    def best(items) -> float:
+    def best(items, floor: float) -> tuple[float, int]:
         rows = sorted(((i["order"], i["title"], i["side"]) for i in items), key=lambda r: r[0])
-        two_sided = len({r[2] for r in rows}) > 1
-        bags = [Counter(r[1]) for r in rows]
-        top = 0.0
+        bags = np.zeros((len(rows), len(SYMBOLS)), np.int32)
+        for i, (_, title, _) in enumerate(rows):
+            for c in title:
+                bags[i, place[c]] += 1
+        sizes = bags.sum(1)
+        sides = np.array([r[2] for r in rows])
+        two_sided = len(set(sides.tolist())) > 1
+        offers = []
         for j in range(1, len(rows)):
-            # The matcher caches its second text, so that one stays in the outer loop.
-            matcher = SequenceMatcher(None, "", rows[j][1])
-            for i in range(j):
-                if two_sided and rows[i][2] == rows[j][2]:
-                    continue
-                a, b = rows[i][1], rows[j][1]
-                if 2.0 * min(len(a), len(b)) / (len(a) + len(b)) <= top or bound(a, b, bags[i], bags[j]) <= top:
-                    continue
-                matcher.set_seq1(a)
-                top = max(top, matcher.ratio())
-        return top
+            bound = 2.0 * np.minimum(bags[:j], bags[j]).sum(1) / (sizes[:j] + sizes[j])
+            for i in np.flatnonzero((bound > floor) & ((sides[:j] != sides[j]) if two_sided else True)):
+                offers.append((-bound[i], j, int(i)))
+        offers.sort()
+        top, pairs = floor, 0
+        for bound, j, i in offers:
+            if -bound <= top:
+                break
+            top, pairs = max(top, _ratio(rows[i][1], rows[j][1])), pairs + 1
+        return top, pairs
+
+    return pd.DataFrame([best(t, f) for t, f in zip(tiles, floors)], columns=["best", "pairs"])
+
+
+NIGHT = ["venue_id", "date"]
+
+
+def _folded(found: DataFrame, floors: DataFrame | None = None) -> DataFrame:
+    """The best and the number of scored pairs per night, over ``found`` and an earlier result."""
+    rows = found if floors is None else found.unionByName(floors)
+    return cut_lineage(rows.groupBy(*NIGHT).agg(F.max("best").alias("best"), F.sum("pairs").alias("pairs")), "night-best")
+
+
+def _neighbours(titles: DataFrame) -> DataFrame:
+    """A first guess: titles next to each other by their beginnings, endings and letters."""
+    letters = F.array_join(F.array_sort(F.split("title", "")), "")
+    found = []
+    for key in (F.col("title"), F.reverse("title"), letters):
+        # windows are cut by the first characters, so a crowded night is not one window
+        rows = titles.withColumn("_key", key).withColumn("_part", F.substring("_key", 1, 3))
+        w = Window.partitionBy(*NIGHT, "_part").orderBy("_key", "order")
+        before = F.lag(F.struct("order", "title")).over(w)
+        rows = rows.withColumn("_before", before).withColumn("_swap", F.col("_before.order") > F.col("order"))
+        first = F.when(F.col("_swap"), F.col("title")).otherwise(F.col("_before.title"))
+        second = F.when(F.col("_swap"), F.col("_before.title")).otherwise(F.col("title"))
+        found.append(rows.select(*NIGHT, _neighbour_ratio(first, second).alias("_found")).select(*NIGHT, "_found.*"))
+    return reduce(DataFrame.unionByName, found)
+
+
+def _rarest(titles: DataFrame, floors: DataFrame, most: int | None = None) -> DataFrame:
+    """Titles by those of their letters (the k-th of its kind) that a better pair must share one of.
+
+    Two titles over ``best`` have so many letters in common that, all letters being in one
+    order, they share one of the first few of each; how few follows from length and ``best``.
+    """
+    letters = F.array_sort(F.split("title", ""))
+    cells = F.transform("_letters", lambda c, i: F.struct(
+        (F.array_position("_letters", c) - i - 2).cast("int").alias("again"), F.instr(F.lit(RARE_FIRST), c).alias("rank")))
+    size = F.length("title")
+    needed = F.ceil(size * F.col("best") / (2 - F.col("best")) - 1e-9)
+    some = F.least(size, size - needed + 1).cast("int")
+    if most:
+        some = F.least(some, F.lit(most))
+    rows = titles.join(floors.where("best < 1").select(*NIGHT, "best"), NIGHT).withColumn("_letters", letters)
+    return rows.select(*NIGHT, "order", "title", "best", F.explode(F.slice(F.array_sort(cells), F.lit(1), some)).alias("_letter"))
+
+
+def _tiles(lists: DataFrame, block: int) -> DataFrame:
+    """Best and pairs of each list of titles; a long list is cut into blocks, each pair of which is a task of its own."""
+    key = [*NIGHT, "_letter"]
+    blocks = lists.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_blocks"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    blocked = (
+        lists.join(blocks.drop("_n"), key)
+        .withColumn("_own", F.pmod(F.xxhash64("title"), F.col("_blocks")).cast("int"))
+        .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    )
+    tiles = blocked.groupBy(*key, F.least("_own", "_other").alias("_lo"), F.greatest("_own", "_other").alias("_hi")).agg(
+        F.collect_list(F.struct("order", "title", F.col("_own").alias("side"))).alias("_titles"), F.first("best").alias("best"))
+    return tiles.where(F.size("_titles") > 1).select(*NIGHT, _tile_best("_titles", "best").alias("_found")).select(*NIGHT, "_found.*")
+
 
-    return titles.map(best)
+def best_pairs(titles: DataFrame, block: int = BLOCK) -> DataFrame:
+    """venue_id, date, the best similarity of two ``titles`` (order, title; distinct, not empty) of a night, and the pairs scored for it.
+
+    Rounds share the best of each night: neighbours in three orders, then titles with the same
+    rarest letter, then all that can still beat what those found.
+    """
+    floors = _folded(_neighbours(titles))
+    for most in (1, None):
+        floors = _folded(_tiles(_rarest(titles, floors, most), block), floors)
+    return floors
 
 
 def cluster_scores(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     """The strongest title similarity per (venue, date), from 0 to 1.
 
     Titles are first reduced to distinct forms. A form held by two rows settles its
-    night at 1 without any comparison, so copies cost nothing. The remaining titles of
-    a night are cut into blocks; each pair of blocks is one small task that returns one
-    number, so a crowded night is spread out and no list of pairs is ever built.
+    night at 1 without any comparison, so copies cost nothing. The remaining titles are
+    searched for their best pair by bounds (:func:`best_pairs`).
     """
-    night = ["venue_id", "date"]
+    night = NIGHT
     forms = (
         rows.groupBy(*night, similarity_form("name").alias("title"))
         .agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("order"))
@@ -87,21 +176,9 @@ def cluster_scores(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     settled = summary.where(F.col("_equal") | (F.col("_forms") < 2)).select(
         *night, F.when(F.col("_equal"), 1.0).otherwise(0.0).alias("score")
     )
-    open_nights = summary.where(~F.col("_equal") & (F.col("_forms") >= 2)).select(
-        *night, F.ceil(F.col("_forms") / block).cast("int").alias("_blocks")
-    )
-    blocked = (
-        forms.where(F.col("title") != "").join(open_nights, night)
-        .withColumn("_own", F.pmod(F.xxhash64("title"), F.col("_blocks")).cast("int"))
-        .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    )
-    tiles = blocked.groupBy(
-        *night, F.least("_own", "_other").alias("_lo"), F.greatest("_own", "_other").alias("_hi")
-    ).agg(F.collect_list(F.struct("order", "title", F.col("_own").alias("side"))).alias("_titles"))
-    scored = (
-        tiles.select(*night, _best_ratio("_titles").alias("_best")).groupBy(*night).agg(F.max("_best").alias("score"))
-    )
-    return settled.unionByName(scored)
+    open_nights = summary.where(~F.col("_equal") & (F.col("_forms") >= 2)).select(*night)
+    titles = cut_lineage(forms.where(F.col("title") != "").join(open_nights, night).select(*night, "order", "title"), "night-titles")
+    return settled.unionByName(best_pairs(titles, block).select(*night, F.col("best").alias("score")))
 
 
 def review_clusters(listings: DataFrame, as_of: dt.date, future_only: bool = True) -> DataFrame:
