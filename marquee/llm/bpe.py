@@ -29,6 +29,7 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import cut_lineage, text_of
@@ -37,6 +38,7 @@ WORDS = 1 << 19             # entries of the dictionary
 WORD_BYTES = 64
 ROWS = 64                   # texts whose words a task holds at once
 PAIR_BUCKETS = 1 << 15
+PLANE = 1 << 16             # code points whose classes are compared at once
 ID_BITS, START_BITS = 17, 28
 NONE = 1 << ID_BITS         # stands for the rank of a pair without one
 MOST = 100_000              # counts of words above are equal
@@ -64,17 +66,12 @@ def vocabulary(path: str, pattern: str) -> Vocabulary:
 # -- splitting ---------------------------------------------------------------------------------
 
 
-@lru_cache(8)
-def _members(kind: str) -> frozenset[int]:
-    """The code points that the tokenizer's regular expressions count to a class."""
+def _members(kind: str, text: str) -> set[str]:
+    """The characters of ``text`` that the tokenizer's regular expressions count to a class."""
     import tiktoken
 
     one = tiktoken.Encoding("class", pat_str=kind, mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
-    found: set[int] = set()
-    for start in range(0, 0x110000, 1 << 15):
-        text = "".join(chr(c) for c in range(start, start + (1 << 15)) if not 0xD800 <= c < 0xE000)
-        found.update(map(ord, bytes(one.encode_ordinary(text)).decode()))     # what no match covers is dropped
-    return frozenset(found)
+    return set(bytes(one.encode_ordinary(text)).decode())      # what no match covers is dropped
 
 
 def _ranges(points: list[int]) -> str:
@@ -90,17 +87,16 @@ def _ranges(points: list[int]) -> str:
 def jvm_pattern(spark: SparkSession, pattern: str) -> str:
     """``pattern`` for Spark: the JVM knows an older Unicode, so its classes get the members it lacks."""
     kinds = sorted(set(re.findall(r"\\p\{\w+\}", pattern)))
-    lacking = {}
-    for kind in kinds:
-        inside = _members(kind)
-        text = "".join(map(chr, sorted(inside)))
-        rest = "".join(chr(c) for c in range(1, 0x110000) if c not in inside and not 0xD800 <= c < 0xE000)
-        kept, extra = spark.range(1).select(
-            F.regexp_replace(F.lit(text), kind, ""), F.regexp_replace(F.lit(rest), kind.replace("p", "P", 1), ""),
-        ).first()
-        if extra:
-            raise ValueError(f"the JVM counts {len(extra)} more characters to {kind} than the tokenizer")
-        lacking[kind] = sorted(map(ord, kept))
+    lacking: dict[str, list[int]] = {kind: [] for kind in kinds}
+    for start in range(0, 0x110000, PLANE):
+        text = "".join(chr(c) for c in range(max(1, start), start + PLANE) if not 0xD800 <= c < 0xE000)
+        known = spark.range(1).select(*(F.regexp_replace(F.lit(text), kind.replace("p", "P", 1), "") for kind in kinds)).first()
+        for kind, members in zip(kinds, known):
+            inside = _members(kind, text)
+            extra = set(members) - inside
+            if extra:
+                raise ValueError(f"the JVM counts {len(extra)} more characters to {kind} than the tokenizer")
+            lacking[kind] += sorted(map(ord, inside - set(members)))
     out, depth, at = [], 0, 0
     while at < len(pattern):
         kind = next((k for k in kinds if pattern.startswith(k, at)), None)
@@ -137,17 +133,15 @@ def _bind(value: Column, f: Callable[[Column], Column]) -> Column:
 
 
 def rank_map(vocab: Vocabulary) -> Column:
-    """A literal: ``pairs`` (buckets of pair keys and merged ids) and ``bytes`` (the id of each byte)."""
-    buckets: list[tuple[list[int], list[int]]] = [([], []) for _ in range(PAIR_BUCKETS)]
+    """A literal: ``pairs`` (buckets: the keys of n pairs, a null, and the ids they merge to) and ``bytes`` (the id of each byte)."""
+    buckets: list[list[tuple[int, int]]] = [[] for _ in range(PAIR_BUCKETS)]
     for whole, rank in vocab.ranks.items():
         for i in range(1, len(whole)):
             left, right = vocab.ranks.get(whole[:i]), vocab.ranks.get(whole[i:])
             if left is not None and right is not None:
-                keys, ids = buckets[(left * 31 + right) % PAIR_BUCKETS]
-                keys.append(left << ID_BITS | right)
-                ids.append(rank)
-    data = {"pairs": [{"k": k, "v": v} for k, v in buckets], "bytes": [vocab.ranks[bytes([i])] for i in range(256)]}
-    return F.from_json(F.lit(json.dumps(data, separators=(",", ":"))), "pairs array<struct<k:array<bigint>,v:array<int>>>, bytes array<bigint>")
+                buckets[(left * 31 + right) % PAIR_BUCKETS].append((left << ID_BITS | right, rank))
+    data = {"pairs": [[k for k, _ in b] + [None] + [r for _, r in b] for b in buckets], "bytes": [vocab.ranks[bytes([i])] for i in range(256)]}
+    return F.from_json(F.lit(json.dumps(data, separators=(",", ":"))), "pairs array<array<bigint>>, bytes array<bigint>")
 
 
 def fold(word: Column, literal: Column) -> Column:
@@ -159,8 +153,9 @@ def fold(word: Column, literal: Column) -> Column:
         """``piece``, whose rank bits are empty, with the rank of it and its right neighbour (null: none)."""
         a, b = piece.bitwiseAND(id_mask), right.bitwiseAND(id_mask)
         bucket = F.get(literal["pairs"], (a * _long(31) + b).bitwiseAND(_long(PAIR_BUCKETS - 1)).cast("int"))
-        merged = F.get(bucket["v"], F.array_position(bucket["k"], F.shiftleft(a, ID_BITS) + b).cast("int") - 1)
-        return piece + F.shiftleft(F.coalesce(merged.cast("bigint") + _long(1), _long(NONE)), top)
+        # a key that is not there has place 0, and one that equals an id a place over n: both lead to a null
+        merged = _bind(bucket, lambda x: F.get(x, F.array_position(x, F.shiftleft(a, ID_BITS) + b).cast("int") + F.shiftright(F.size(x), 1)))
+        return piece + F.shiftleft(F.coalesce(merged + _long(1), _long(NONE)), top)
 
     def step(pieces: Column, _: Column) -> Column:
         def merge(k: Column) -> Column:         # k, from 1: the left piece of the merge
@@ -178,10 +173,8 @@ def fold(word: Column, literal: Column) -> Column:
         return F.when(least >= _long(NONE << top), pieces).otherwise(_bind(F.array_position(pieces, least).cast("int"), merge))
 
     size = F.octet_length(word)
-    raw = F.transform(
-        F.sequence(F.lit(1), size),
-        lambda i: F.get(literal["bytes"], F.ascii(F.decode(F.substring(word, i, F.lit(1)), "ISO-8859-1"))) + F.shiftleft(i.cast("bigint"), ID_BITS),
-    )
+    chars = F.filter(F.split(F.decode(word, "ISO-8859-1"), ""), lambda c: c != "")
+    raw = F.transform(chars, lambda c, i: F.get(literal["bytes"], F.ascii(c)) + F.shiftleft(i.cast("bigint") + _long(1), ID_BITS))
     start = _bind(raw, lambda a: F.transform(a, lambda x, i: ranked(x, F.get(a, i + 1))))
     merged = F.aggregate(F.sequence(F.lit(2), F.greatest(size, F.lit(2))), start, step)
     return F.transform(merged, lambda x: x.bitwiseAND(id_mask).cast("int"))
@@ -213,15 +206,13 @@ def _frequent(docs: DataFrame, pattern: str, most: int) -> DataFrame:
     return words.where(F.col("count") >= least).select("word")
 
 
-def _literal(vocab: Vocabulary) -> Column:
-    """``rank_map`` with ``names``: each id as 32 bits, least byte first, in hex."""
-    names = [i.to_bytes(4, "little").hex() for i in range(max(vocab.ranks.values()) + 1)]
-    return F.struct(rank_map(vocab).alias("ranks"), F.from_json(F.lit(json.dumps(names, separators=(",", ":"))), "array<string>").alias("names"))
-
+def _written(word: Column, literal: Column) -> Column:
+    """The ids of a word by merges, each 32 bits, least byte first, in hex."""
+    def name(i: Column) -> Column:
+        six = F.lpad(F.hex(i), 6, "0")
+        return F.concat(F.substring(six, 5, 2), F.substring(six, 3, 2), F.substring(six, 1, 2), F.lit("00"))
 
-def _written(word: Column, m: Column) -> Column:
-    """The ids of a word in hex, by merges."""
-    return F.array_join(F.transform(fold(word.cast("binary"), m["ranks"]), lambda i: F.get(m["names"], i)), "")
+    return F.array_join(F.transform(fold(word.cast("binary"), literal), name), "")
 
 
 def _is_text(word: bytes) -> bool:
@@ -231,17 +222,21 @@ def _is_text(word: bytes) -> bool:
         return False
 
 
-def dictionary(docs: DataFrame, vocab: Vocabulary, pattern: str, most: int = WORDS) -> dict[str, str]:
-    """Ids in hex of the frequent words, and of the tokens that merges from their bytes do not give."""
+def dictionary(docs: DataFrame, vocab: Vocabulary, pattern: str, most: int = WORDS) -> bytes:
+    """An Arrow table of ``word`` and ``ids`` in hex: the frequent words, and the tokens that merges from their bytes do not give."""
     spark = docs.sparkSession
-    folded = lambda word: _bind(_literal(vocab), lambda m: _written(word, m))       # noqa: E731
-    tokens = [(t.decode(), i.to_bytes(4, "little").hex()) for t, i in vocab.ranks.items() if _is_text(t)]
-    tokens = spark.createDataFrame(tokens, "word string, ids string").repartition(spark.sparkContext.defaultParallelism)
-    known: dict[str, str] = {}
-    for batch in _frequent(docs, pattern, most).select("word", folded(F.col("word")).alias("ids")).toArrow().to_batches(1 << 14):
-        known.update(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
-    known.update((r.word, r.ids) for r in tokens.where(folded(F.col("word")) != F.col("ids")).collect())
-    return known
+    tokens = [(t.decode(), i.to_bytes(4, "little").hex().upper()) for t, i in vocab.ranks.items() if _is_text(t)]
+    tokens = spark.createDataFrame(tokens, "word string, id string").repartition(spark.sparkContext.defaultParallelism)
+    words = tokens.unionByName(_frequent(docs, pattern, most).select("word", F.lit(None).cast("string").alias("id")))
+    found = words.select("word", "id", _bind(rank_map(vocab), lambda m: _written(F.col("word"), m)).alias("ids"))
+    found = found.where(F.col("id").isNull() | (F.col("id") != F.col("ids")))
+    # a token's own id counts, whatever merges give: it comes last
+    out = pa.BufferOutputStream()
+    table = found.select("word", F.coalesce("id", "ids").alias("ids"), F.col("id").isNotNull().alias("own")).toArrow()
+    table = pa.concat_tables([table.filter(pc.invert(table["own"])), table.filter(table["own"])]).drop(["own"])
+    with pa.ipc.new_stream(out, table.schema) as writer:
+        writer.write_table(table)
+    return out.getvalue().to_pybytes()
 
 
 def encoded(docs: DataFrame, vocab: Vocabulary, most: int = WORDS) -> DataFrame:
@@ -251,7 +246,8 @@ def encoded(docs: DataFrame, vocab: Vocabulary, most: int = WORDS) -> DataFrame:
     shared = spark.sparkContext.broadcast(dictionary(docs, vocab, pattern, most))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = shared.value.get
+        table = pa.ipc.open_stream(shared.value).read_all()
+        held = dict(zip(table["word"].to_pylist(), table["ids"].to_pylist())).get
         for b in batches:
             for start in range(0, len(b), ROWS):
                 some = b.slice(start, ROWS)
@@ -270,7 +266,7 @@ def encoded(docs: DataFrame, vocab: Vocabulary, most: int = WORDS) -> DataFrame:
     parts = words.mapInArrow(run, "doc_id long, known array<string>, rare array<string>")
     joined = lambda m: F.array_join(        # noqa: E731
         F.zip_with("known", F.transform("rare", lambda w: _written(w, m)), lambda k, r: F.concat(k, F.coalesce(r, F.lit("")))), "")
-    return parts.select("doc_id", F.unhex(_bind(_literal(vocab), joined)).alias("ids"))
+    return parts.select("doc_id", F.unhex(_bind(rank_map(vocab), joined)).alias("ids"))
 
 
 def numbers(ids: Column) -> Column:
