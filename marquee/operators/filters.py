@@ -124,10 +124,27 @@ def venue_text_keeps(column: str, needle: str | None = None, banned: str | None
 
 
 def page(df: DataFrame, page_no: int = 1, per_page: int = 50) -> DataFrame:
-    """One page by date; ``id`` settles ties."""
+    """One page by date; ``id`` settles ties.
+
+    The rows of each day are counted first (one number per calendar day reaches the driver), so only
+    the days a page touches are read again, by a filter on the date that the scan takes, and sorted.
+    """
     if page_no < 1 or not 1 <= per_page <= 200:
         raise ValueError("page_no starts at 1 and per_page is 1 to 200")
-    return df.orderBy("date", "id").offset((page_no - 1) * per_page).limit(per_page)
+    first, last = (page_no - 1) * per_page, page_no * per_page
+    before, skip, days = 0, 0, []
+    for day, n in df.groupBy("date").agg(F.count(F.lit(1))).orderBy("date").collect():
+        if before < last and before + n > first:
+            skip = skip if days else first - before
+            days.append(day)
+        before += n
+    if not days:
+        return df.limit(0)
+    dated = [d for d in days if d is not None]
+    touched = F.col("date").between(F.lit(dated[0]), F.lit(dated[-1])) if dated else F.lit(False)
+    if None in days:
+        touched = touched | F.col("date").isNull()
+    return df.where(touched).orderBy("date", "id").offset(skip).limit(per_page)
 
 
 def page_totals(df: DataFrame, per_page: int = 50) -> DataFrame:

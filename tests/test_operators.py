@@ -331,3 +331,16 @@ def test_dangling_pointers(spark):
     df = events(spark, dict(duplicate_of_id=2), dict(duplicate_of_id=9), dict())
     assert {r.id: r.duplicate_of_id for r in runlog.clear_dangling(df, "duplicate_of_id", df).collect()} == {1: 2, 2: None, 3: None}
     assert runlog.self_folds(events(spark, dict(duplicate_of_id=1))).count() == 1
+
+
+def test_a_page_reads_and_sorts_its_days_only(spark, tmp_path):
+    r = random.Random(5)
+    rows = [(i, None if r.random() < 0.05 else dt.date(2026, 1, 1) + dt.timedelta(days=int(r.paretovariate(1)) % 60)) for i in range(1, 1001)]
+    spark.createDataFrame(rows, "id long, date date").repartition(4).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    want = [i for i, d in sorted(rows, key=lambda x: (x[1] is not None, x[1] or dt.date(1, 1, 1), x[0]))]
+    for size in (1, 7, 50, 200):
+        for no in {1, 2, 3, 1000 // size, 1000 // size + 1, 1000 // size + 5}:
+            assert [x.id for x in filters.page(df, no, size).collect()] == want[(no - 1) * size : no * size]
+    plan = filters.page(df, 95, 10)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(date," in plan and "LessThanOrEqual(date," in plan
