@@ -7,7 +7,8 @@ summed over a sliding window of lines; text surges where the sum rises from zero
 where it returns to it. Lines in the article element are kept. On a page without one, a
 surge is content when less than half of what comes before its dive is link text, and every
 line from the first to the last such surge is kept, however short its block; what goes are
-blocks of links before and after them.
+blocks of links before and after them. A mark word within a longer name shuts an element out only where
+the name reads as a part of a page (site-footer, related-posts), not as a subject (related-work).
 
 Defined results: a null or empty page, or one without such a surge, gives an empty text;
 unclosed and stray tags are closed by what encloses them; repeated rows are extracted each;
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -43,6 +45,15 @@ MARKS = frozenset(
     "notice notices cookie cookies consent gdpr popup modal overlay alert newsletter subscribe subscription signup login share sharing social related "
     "recommended recommendations pagination pager skip search form complementary contentinfo copyright legal tags".split()
 )
+#: Marks that at the end of a compound are as often a subject (anti-social, job-search, side-by-side).
+SUBJECTS = frozenset("side social legal related search rail skip respond reply alert tags discussion copyright".split())
+#: Places of a page; a mark after one of these is a part of the page all the same (left-rail, post-tags).
+PLACES = frozenset("site page main top bottom left right primary secondary global mobile entry post article story".split())
+#: What a part of the page is called after its mark (share-buttons, related-posts); other words make a compound a subject.
+PARTS = frozenset(
+    "area areas bar bars block blocks box boxes button buttons container content form frame group holder icon icons inner item items label link links "
+    "list lists module outer panel panels placeholder posts slot slots stories articles title top bottom left right unit units wrap wrapper zone".split()
+)
 #: In a compound with one of these a mark word tells of a state or layout (has-sidebar, comments-open).
 STATES = frozenset("has have with without no not layout open closed enabled disabled".split())
 #: A header of one of these is a headline's (entry-header), not the page's.
@@ -50,37 +61,55 @@ HEADED = frozenset("entry post article story content page section headline title
 PARAGRAPHS = frozenset("p li dt dd tr td th".split())
 
 
-def _marked(tag: str, attrs: str) -> bool:
-    """Whether attributes hide an element or mark it as no article.
+NO, LIKELY, SURELY = range(3)
+
+
+def _compound(words: list[str]) -> bool:
+    """Whether the words of a name make it a part of the page that is no article."""
+    marks = MARKS - (frozenset(["header"]) if HEADED & set(words) else frozenset())
+    if words[-1] in marks and (words[-1] not in SUBJECTS or (len(words) == 2 and words[0] in PLACES)):
+        return True
+    held = [w in marks for w in words]
+    if True not in held:
+        return False
+    rest = words[held.index(True) + 1 :]
+    return bool(rest) and all(w in PARTS or w in marks for w in rest)
+
+
+def _marked(tag: str, attrs: str) -> int:
+    """Whether attributes hide an element or mark it as no article: surely, or likely, by a compound name.
 
     On article and main a name of class, id or role marks as a whole only, not by a word in it.
     """
     if not attrs:
-        return False
+        return NO
     given: dict[str, str] = {}
     for m in ATTRIBUTE.finditer(attrs):
         given.setdefault(m[1].lower(), html.unescape((m[2] or "").strip("\"'")))
     if "hidden" in given or given.get("aria-hidden", "").strip().lower() == "true" or UNSEEN.search(given.get("style", "")):
-        return True
+        return SURELY
+    found = NO
     for name in " ".join(given.get(k, "") for k in ("class", "id", "role")).split():
         if name.lower() in MARKS:
-            return True
+            return SURELY
         if tag in ("article", "main"):
             continue
-        words = set(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()))
-        if words & STATES:
-            continue
-        if words & MARKS - (frozenset(["header"]) if words & HEADED else frozenset()):
-            return True
-    return False
+        words = [w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()) if w]
+        if words and not set(words) & STATES and _compound(words):
+            found = LIKELY
+    return found
 
 
-def lines(page: str) -> list[tuple[str, int, bool]]:
-    """The lines of a page: text, characters of link text, whether in an article. Gaps are empty lines."""
+def lines(page: str, least: int = LIKELY) -> tuple[list[tuple[str, int, bool]], int]:
+    """The lines of a page: text, characters of link text, whether in an article. Gaps are empty lines.
+
+    Elements marked ``least`` or more are shut out. The number is of characters that only likely marks shut out.
+    """
     out: list[tuple[str, int, bool]] = []
     parts: list[str] = []
-    stack: list[tuple[str, bool]] = []          # open elements; whether each shuts its content out
-    shut = linked = articles = 0
+    stack: list[tuple[str, bool, bool]] = []    # open elements; whether each shuts its content out, and by a likely mark alone
+    opened: Counter[str] = Counter()            # how many of each are open
+    shut = likely = lost = linked = articles = 0
     seen_article = in_link = False
 
     def flush() -> None:
@@ -92,9 +121,11 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
         linked = 0
 
     def pop() -> None:
-        nonlocal shut, articles
-        tag, out_of = stack.pop()
+        nonlocal shut, likely, articles
+        tag, out_of, perhaps = stack.pop()
+        opened[tag] -= 1
         shut -= out_of
+        likely -= perhaps
         articles -= tag in ("article", "main") and not out_of
         if out_of and not shut:
             out.extend([("", 0, False)] * WINDOW)
@@ -106,6 +137,8 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
         if text and not shut:
             parts.append(text)
             linked += len(text) * in_link
+        elif text and shut == likely:
+            lost += len(text.strip())
         if not m:
             break
         at, tag = m.end(), (m["tag"] or "").lower()
@@ -116,7 +149,7 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
                 in_link = False
             if tag in BLOCK and not shut:
                 flush()
-            if any(t == tag for t, _ in stack):
+            if opened[tag]:
                 while stack[-1][0] != tag:
                     pop()
                 pop()
@@ -136,36 +169,42 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
             pop()
         if tag in VOID or m["attrs"].endswith("/"):
             continue
-        marked = _marked(tag, m["attrs"])
+        how = _marked(tag, m["attrs"])
+        marked = how >= least
         if tag in ("article", "main", "body") and not marked and not seen_article:
             # an advert or menu left open does not swallow the article
             while shut:
                 pop()
         page_header = tag == "header" and not articles
         out_of = tag not in ("html", "body") and (tag in OUTSIDE or page_header or marked)
-        stack.append((tag, out_of))
+        perhaps = out_of and how == LIKELY and not (tag in OUTSIDE or page_header)
+        stack.append((tag, out_of, perhaps))
+        opened[tag] += 1
         if out_of and not shut:
             out.extend([("", 0, False)] * WINDOW)
         shut += out_of
+        likely += perhaps
         if tag in ("article", "main") and not out_of:
             articles += 1
             seen_article = True
     if not shut:
         flush()
-    return out
+    return out, lost
 
 
 def main_text(page: str | None) -> str:
     """The lines between surge and dive points, joined by line feeds."""
-    rows = lines(page or "")
+    rows, lost = lines(page or "")
+    if lost and not any(t for t, _, _ in rows):
+        # likely marks shut everything out, so they were names of subjects
+        rows, _ = lines(page or "", SURELY)
     article = any(a for _, _, a in rows)
     if article:
         # outside the article element nothing is text of the article
         rows = [r if r[2] else ("", 0, False) for r in rows]
+        return "\n".join(t for t, _, _ in rows if t)
     sizes = [len(t) for t, _, _ in rows]
     window = [sum(sizes[max(0, i - WINDOW + 1) : i + 1]) for i in range(len(rows))]
-    if article:
-        return "\n".join(t for t, _, _ in rows if t)
     first = last = i = 0        # the first surge of content and the last dive
     while i < len(rows):
         if not sizes[i]:

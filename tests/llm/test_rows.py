@@ -178,6 +178,28 @@ def test_articles_and_links_that_stay(page, want):
     assert extract.main_text(page) == want
 
 
+SUBJECTS = "side-by-side social-policy legal-analysis related-work search-results ad-hoc sponsor-story tags-of-war newsletter-archive".split()
+
+
+@pytest.mark.parametrize("name", SUBJECTS)
+def test_names_of_subjects_shut_nothing_out(name):
+    assert extract.main_text(f"<article><h1>Top</h1><div class='{name}'><p>The body.</p></div></article>") == "Top\nThe body."
+    assert extract.main_text(f"<body><div class='page {name}'><p>The body of it.</p></div></body>") == "The body of it."
+
+
+@pytest.mark.parametrize("name", ["comment-list", "post-comments", "left-rail", "share-buttons", "site-search", "cookie-banner", "articleFooter"])
+def test_parts_of_a_page_stay_out_however_long(name):
+    assert extract.main_text(f"<article><p>kept</p><div class='{name}'>{ARTICLE * 5}</div></article>") == "kept"
+
+
+def test_nesting_takes_linear_time():
+    import time
+
+    start = time.perf_counter()
+    assert extract.main_text("<div>" * 100_000 + "<p>deep" + "</b>" * 100_000) == "deep"
+    assert time.perf_counter() - start < 5      # quadratic work takes minutes
+
+
 def test_extraction_of_a_table(spark):
     kind = "page_id long, url string, html string, text string, n_chars int"
     rows = [(1, "u", f"<article>{ARTICLE * 3000}</article>", "x", 1), (1, "u", "<article><p>é</p></article>", "x", 1), (None, None, None, None, None)]
