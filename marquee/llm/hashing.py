@@ -35,6 +35,11 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
         return np.cumprod(up), np.cumprod(down)
 
 
+def forget() -> None:
+    """Drop the tables that are kept between calls."""
+    _powers.cache_clear()
+
+
 class Prefixes:
     """Hashes of any part of ``raw`` (bytes, or codes of 64 bits) in constant time."""
 

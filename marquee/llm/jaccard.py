@@ -37,6 +37,7 @@ from pyspark.sql.window import Window
 from .common import cut_lineage
 from .graph import components
 from .hashing import bitmap
+from .workers import tidied
 
 N = 4
 LEAST, MOST = 85, 100       # link: MOST * |x & y| >= LEAST * |x | y|
@@ -161,7 +162,7 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def frequencies(texts: DataFrame, link: Link = LINK) -> np.ndarray:
     """In how many sets the n-grams of each counter are, over all rows: COUNTERS numbers, whatever the input."""
     kinds = "block long, counts binary"
-    found = texts.mapInArrow(lambda batches: _tallies(batches, link), kinds).repartition("block").mapInArrow(_added, kinds).toPandas()
+    found = texts.mapInArrow(tidied(lambda batches: _tallies(batches, link)), kinds).repartition("block").mapInArrow(_added, kinds).toPandas()
     total = np.zeros((COUNTERS // COUNTED, COUNTED), np.uint32)
     for block, counts in zip(found["block"], found["counts"]):
         total[block] = np.frombuffer(counts, np.uint32)
@@ -220,7 +221,7 @@ def described(docs: DataFrame, link: Link = LINK) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sigs) if sigs else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), lists, pa.array(bits, pa.list_(pa.int64()))], names=["doc_id", "h", "n", "node", "sigs", "bits"])
 
-    return cut_lineage(rows.mapInArrow(run, "doc_id long, h long, n long, node long, sigs array<long>, bits array<long>"), "gram-sets")
+    return cut_lineage(rows.mapInArrow(tidied(run), "doc_id long, h long, n long, node long, sigs array<long>, bits array<long>"), "gram-sets")
 
 
 def _runs(batches: Iterator[pa.RecordBatch], link: Link) -> Iterator[pa.RecordBatch]:
@@ -258,7 +259,7 @@ def runs(book: DataFrame, link: Link = LINK) -> DataFrame:
     at = book.select(F.posexplode("sigs").alias("at", "sig"), "node", F.col("n").cast("int").alias("n"))
     at = at.select("sig", "n", "at", "node").repartition("sig").sortWithinPartitions("sig", "n", "node")
     kinds = ", ".join(f"{c} {'int' if c.endswith(('n', 'at')) else 'long'}" for c in _RUN)
-    return cut_lineage(at.mapInArrow(lambda batches: _runs(batches, link), kinds), "gram-runs")
+    return cut_lineage(at.mapInArrow(tidied(lambda batches: _runs(batches, link)), kinds), "gram-runs")
 
 
 def _may_link(n: str, at: str, n2: str, at2: str, link: Link) -> Column:
@@ -289,7 +290,7 @@ def sets_of(docs: DataFrame, nodes: DataFrame, link: Link = LINK) -> DataFrame:
                     out[node] = g.tobytes()
             yield pa.RecordBatch.from_arrays([pa.array(out.keys(), pa.int64()), pa.array(out.values(), pa.binary())], names=["node", "grams"])
 
-    every = docs.selectExpr("cast(text as string) text").mapInArrow(chosen, "node long, grams binary")
+    every = docs.selectExpr("cast(text as string) text").mapInArrow(tidied(chosen), "node long, grams binary")
     return cut_lineage(every.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "gram-columns")
 
 
@@ -325,7 +326,7 @@ def products(docs: DataFrame, pairs: DataFrame, link: Link = LINK) -> DataFrame:
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     sets = sets_of(docs, nodes, link)
     wide = pairs.join(sets.toDF("b", "y"), "b").join(sets.toDF("a", "x"), "a").select("a", "b", "x", "y")
-    return cut_lineage(wide.mapInArrow(lambda batches: _product(batches, link), "a long, b long"), "gram-links")
+    return cut_lineage(wide.mapInArrow(tidied(lambda batches: _product(batches, link)), "a long, b long"), "gram-links")
 
 
 def _pair(x: str, y: str) -> list:

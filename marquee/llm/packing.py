@@ -30,10 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import cut_lineage
+from .workers import tidied
 
 CAPACITY = 2048
 END = 0                     # the id after every document
-WORDS = 400_000             # chunks whose ids a task keeps, the first it meets; others are encoded each time
+WORDS = 300_000             # chunks whose ids a worker keeps (some 200 bytes each), the first it meets; others are encoded each time
 LONGEST = 48                # characters of a chunk that is kept
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Before a space that a character other than white space follows the tokenizer always splits.
@@ -50,11 +51,6 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
 
-    def fresh(self) -> Encoder:
-        """The same without the chunks of earlier tasks, which a worker process would hold on to."""
-        self.known = {}
-        return self
-
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -78,7 +74,7 @@ class Encoder:
 
 @lru_cache(1)
 def encoder(path: str) -> Encoder:
-    """The encoder of this worker process; its tokenizer is kept over its tasks."""
+    """The encoder of this worker process, kept over its tasks."""
     return Encoder(path)
 
 
@@ -87,24 +83,21 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFr
     end = np.array([END], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = encoder(vocabulary).fresh()
-        try:
-            for b in batches:
-                out: list[tuple] = []
-                for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text")):
-                    ids = memoryview(held.encode(text.as_py() or "") + end)
-                    n = len(ids) // 4
-                    at, stop = 0, n % capacity or capacity
-                    while at < n:
-                        out.append((doc_id, (at + capacity - 1) // capacity, at, stop - at, zlib.crc32(ids[4 * at : 4 * stop])))
-                        at, stop = stop, stop + capacity
-                cols = list(zip(*out)) if out else [[]] * 5
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
-        finally:
-            held.fresh()
-
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, PIECES)
+        encode = encoder(vocabulary).encode
+        for b in batches:
+            out: list[tuple] = []
+            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text")):
+                ids = memoryview(encode(text.as_py() or "") + end)
+                n = len(ids) // 4
+                at, stop = 0, n % capacity or capacity
+                while at < n:
+                    out.append((doc_id, (at + capacity - 1) // capacity, at, stop - at, zlib.crc32(ids[4 * at : 4 * stop])))
+                    at, stop = stop, stop + capacity
+            cols = list(zip(*out)) if out else [[]] * 5
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+
+    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(tidied(run), PIECES)
 
 
 def sweeps(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:

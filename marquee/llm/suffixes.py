@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import cut_lineage
 from .hashing import BASE, Prefixes, U, bitmap, mix
+from .workers import tidied
 
 LENGTH = 400
 HOT = 2048                  # different stretches of a gram that one task sorts
@@ -360,7 +361,7 @@ def _chosen(docs: DataFrame, may) -> DataFrame:
             texts = _utf8(some.column("text"))
             yield pa.RecordBatch.from_arrays([pa.array([hashlib.sha256(t).digest()[:16] for t in texts], pa.binary()), some.column("text").cast(pa.string())], names=["key", "text"])
 
-    return docs.mapInArrow(run, "key binary, text string")
+    return docs.mapInArrow(tidied(run), "key binary, text string")
 
 
 _EMPTY = hashlib.sha256(b"").hexdigest()
@@ -395,7 +396,7 @@ def _decided(docs: DataFrame, scale: Scale = BYTES) -> tuple[DataFrame, DataFram
     """The book of all rows, the keys of texts that rows share, and spans and kept_sha256 of other texts that lose something."""
     label = scale.label
     rows = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
-    book = cut_lineage(rows.mapInArrow(_at(_described, scale), _BOOK), f"{label}-stretches")
+    book = cut_lineage(rows.mapInArrow(tidied(_at(_described, scale)), _BOOK), f"{label}-stretches")
     copied = cut_lineage(book.where("fits").groupBy("key").count().where("count > 1").select("key", F.lit(True).alias("copied")), f"{label}-copied")
     each = book.select("key", F.inline(F.arrays_zip("gram", "whole", "start", "n", "off")))
     grams = each.groupBy("gram").agg(F.min("whole").alias("low"), F.max("whole").alias("high"), F.count("*").alias("c")).where("c > 1")
@@ -407,10 +408,10 @@ def _decided(docs: DataFrame, scale: Scale = BYTES) -> tuple[DataFrame, DataFram
     hot = parts.groupBy("gram").count().where(F.col("count") > HOT).select("gram", F.lit(True).alias("hot"))
     parts = parts.join(hot, "gram", "left").select("key", F.struct("gram", "whole", "start", "n", "off", F.coalesce("hot", F.lit(False)).alias("hot")).alias("part"))
     by_text = cut_lineage(parts.groupBy("key").agg(F.collect_list("part").alias("parts")), f"{label}-parts")
-    cut = cut_lineage(_texts(rows, by_text).join(by_text, "key").select("text", "parts").mapInArrow(_at(_cut, scale), "gram long, whole long, off long, hot boolean, data binary"), f"{label}-cut")
+    cut = cut_lineage(_texts(rows, by_text).join(by_text, "key").select("text", "parts").mapInArrow(tidied(_at(_cut, scale)), "gram long, whole long, off long, hot boolean, data binary"), f"{label}-cut")
     kinds = "gram long, whole long, first long, last long"
-    found = cut.where("not hot").repartition("gram").sortWithinPartitions("gram", "whole").select("gram", "whole", "off", "data").mapInArrow(_at(_sorted_repeats, scale), kinds)
-    windows = cut.where("hot").select("gram", "whole", "off", "data").mapInArrow(_at(_window_hashes, scale), "gram long, whole long, at long, h long").distinct()
+    found = cut.where("not hot").repartition("gram").sortWithinPartitions("gram", "whole").select("gram", "whole", "off", "data").mapInArrow(tidied(_at(_sorted_repeats, scale)), kinds)
+    windows = cut.where("hot").select("gram", "whole", "off", "data").mapInArrow(tidied(_at(_window_hashes, scale)), "gram long, whole long, at long, h long").distinct()
     twice = windows.groupBy("h").count().where("count > 1").select("h")
     found = found.unionByName(windows.join(twice, "h").select("gram", "whole", F.col("at").alias("first"), F.col("at").alias("last")))
     # a stretch with copies goes whole; of another, the windows found
@@ -420,7 +421,7 @@ def _decided(docs: DataFrame, scale: Scale = BYTES) -> tuple[DataFrame, DataFram
     spans = lone.join(whole.unionByName(single), ["gram", "whole"]).select("key", F.struct((F.col("start") + F.col("first")).alias("start"), (F.col("start") + F.col("last") + scale.length).alias("end")).alias("span"))
     by_text = cut_lineage(spans.groupBy("key").agg(F.collect_list("span").alias("spans")), f"{label}-spans")
     kind = "key binary, spans array<struct<start: long, end: long>>, kept_sha256 string"
-    changed = cut_lineage(_texts(rows, by_text).join(by_text, "key").mapInArrow(_at(_removed, scale), kind), f"{label}-changed")
+    changed = cut_lineage(_texts(rows, by_text).join(by_text, "key").mapInArrow(tidied(_at(_removed, scale)), kind), f"{label}-changed")
     return book, copied, changed
 
 
@@ -470,7 +471,7 @@ def cleaned(docs: DataFrame, scales: tuple[Scale, ...] = (BYTES,)) -> DataFrame:
         marks = marks.groupBy("suffix_key").agg(F.flatten(F.collect_list("suffix_spans")).alias("suffix_spans"))
     both = docs.join(marks, _key() == F.col("suffix_key"), "left").drop("suffix_key")
     same = both.where("suffix_spans is null").drop("suffix_spans")
-    trimmed = both.where("suffix_spans is not null").mapInArrow(_trimmed, docs.schema).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    trimmed = both.where("suffix_spans is not null").mapInArrow(tidied(_trimmed), docs.schema).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in docs.columns:
         trimmed = trimmed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return same.unionByName(trimmed)
