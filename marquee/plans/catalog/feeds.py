@@ -212,11 +212,10 @@ FAVOURITES_SQL = f"""SELECT user_id, event_id, {_entry_sql("'BEGIN:VEVENT', CASE
       FROM (SELECT DISTINCT user_id, event_id FROM favorites) f JOIN listings l ON l.id = f.event_id JOIN venues v ON l.venue_id = v.id"""
 
 def _landed_pages(t) -> DataFrame:
-    """The pages written as landed files, one folder a venue and one document a line, and read back."""
+    """The pages in the landing table, clustered by venue, and read back."""
     root = os.path.join(scratch_root(t.spark), f"landed-{uuid.uuid4().hex}")
-    _ticketing_pages(t).select("venue_slug", F.col("payload").alias("value")).write.partitionBy("venue_slug").text(root)
-    pages = ticketing.read_pages(t.spark, root)
-    return pages.select(F.regexp_extract("feed", "venue_slug=([^/]+)", 1).alias("venue_slug"), "payload")
+    ticketing.land_pages(_ticketing_pages(t), root)
+    return ticketing.landed_pages(t.spark, root)
 
 
 ENTRIES = [
