@@ -42,6 +42,7 @@ from .workers import tidied
 N = 4
 LEAST, MOST = 85, 100       # link: MOST * |x & y| >= LEAST * |x | y|
 CHUNK = 1 << 20             # bytes hashed at once
+ROWS = 256                  # texts whose sets are held at once
 COUNTERS = 1 << 21          # of frequencies: 8 MB, on the driver and each executor
 BITS = 512                  # of the sketch of a set
 COUNTED = 1 << 12           # counters that travel as one row
@@ -131,6 +132,13 @@ def _chunk_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
     return out
 
 
+def _sets_of(batch: pa.RecordBatch, n: int) -> Iterator[np.ndarray]:
+    """``gram_sets`` of a batch, a few texts at a time: a task never holds the sets of a whole batch."""
+    texts = batch.column("text")
+    for start in range(0, len(texts), ROWS):
+        yield from gram_sets(_utf8(texts.slice(start, ROWS)), n)
+
+
 def _places(grams: np.ndarray) -> np.ndarray:
     return (grams >> U(64 - COUNTERS.bit_length() + 1)).astype(np.int64)
 
@@ -140,7 +148,7 @@ def _tallies(batches: Iterator[pa.RecordBatch], link: Link) -> Iterator[pa.Recor
     total = np.zeros(COUNTERS, np.int64)
     seen: set[int] = set()
     for b in batches:
-        for g in gram_sets(_utf8(b.column("text")), link.n):
+        for g in _sets_of(b, link.n):
             node = _node(g)
             if node not in seen:
                 seen.add(node)
@@ -210,7 +218,7 @@ def described(docs: DataFrame, link: Link = LINK) -> DataFrame:
         seen: set[int] = set()      # a set that the task has met emits nothing again
         for b in batches:
             nodes, sizes, sigs, bits = [], [], [], []
-            for g in gram_sets(_utf8(b.column("text")), link.n):
+            for g in _sets_of(b, link.n):
                 node = _node(g)
                 nodes.append(node if len(g) else None)
                 sizes.append(len(g))
@@ -280,8 +288,8 @@ def sets_of(docs: DataFrame, nodes: DataFrame, link: Link = LINK) -> DataFrame:
 
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for b in batches:
-            grams = [g for g in gram_sets(_utf8(b.column("text")), link.n) if len(g)]
+        for b in (whole.slice(start, ROWS) for whole in batches for start in range(0, len(whole), ROWS)):
+            grams = [g for g in _sets_of(b, link.n) if len(g)]
             found = [_node(g) for g in grams]
             out: dict[int, bytes] = {}
             for g, node, may in zip(grams, found, may_hold(np.array(found, np.int64))):
