@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import cut_lineage, text_of
 
-WORDS = 1 << 19             # entries of the dictionary
+WORDS = 1 << 18             # entries of the dictionary
 WORD_BYTES = 64
 ROWS = 64                   # texts whose words a task holds at once
 PAIR_BUCKETS = 1 << 15
@@ -225,8 +225,11 @@ def _is_text(word: bytes) -> bool:
 def dictionary(docs: DataFrame, vocab: Vocabulary, pattern: str, most: int = WORDS) -> bytes:
     """An Arrow table of ``word`` and ``ids`` in hex: the frequent words, and the tokens that merges from their bytes do not give."""
     spark = docs.sparkSession
-    tokens = [(t.decode(), i.to_bytes(4, "little").hex().upper()) for t, i in vocab.ranks.items() if _is_text(t)]
-    tokens = spark.createDataFrame(tokens, "word string, id string").repartition(spark.sparkContext.defaultParallelism)
+    own = pa.table({
+        "word": [t.decode() for t in vocab.ranks if _is_text(t)],
+        "id": [i.to_bytes(4, "little").hex().upper() for t, i in vocab.ranks.items() if _is_text(t)],
+    })
+    tokens = spark.createDataFrame(own).repartition(spark.sparkContext.defaultParallelism)
     words = tokens.unionByName(_frequent(docs, pattern, most).select("word", F.lit(None).cast("string").alias("id")))
     found = words.select("word", "id", _bind(rank_map(vocab), lambda m: _written(F.col("word"), m)).alias("ids"))
     found = found.where(F.col("id").isNull() | (F.col("id") != F.col("ids")))

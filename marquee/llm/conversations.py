@@ -405,3 +405,67 @@ def digest(conversations: DataFrame) -> DataFrame:
         "g.conv_id", *map(whole, ("g.gaps", "c.blank", "c.duplicate", "c.truncated", "f.illegal", "f.cost")),
         F.coalesce("f.audit", F.lit("")).alias("audit"), F.coalesce("h.repaired_sha256", F.lit(hashlib.sha256(b"").hexdigest())).alias("repaired_sha256"),
     )
+
+
+# -- the same in DuckDB ------------------------------------------------------------------------
+
+
+def _sql() -> str:
+    """:func:`digest` as SQL: a recursive query carries, for each state, cost and audit as one string that sorts by both."""
+    more = lambda f, cost, letter: f"lpad((left({f}, 10)::BIGINT + {cost})::VARCHAR, 10, '0') || substr({f}, 11) || '{letter}'"     # noqa: E731
+    when = lambda test, f: f"CASE WHEN {test} THEN {f} ELSE '{far}' END"        # noqa: E731
+    far = "9000000000"
+    insert = lambda src: f"""SELECT * REPLACE (least(fu, {more('f0', 2, 'I')}, {more('fs', 2, 'I')}, {more('fa', 2, 'I')}) AS fu, least(fa, {more('fu', 2, 'I')}) AS fa) FROM ({src})"""       # noqa: E731
+    stay = "code <> 'd'"
+    extra = "(code = upper(code))::INT"
+    keep = lambda letter, *states: when(f"lower(code) = '{letter}'", "least(" + ", ".join(more(f, extra, "K") for f in states) + ")")     # noqa: E731
+    rerole = lambda *states: when(stay, "least(" + ", ".join(more(f, f"(2 + {extra})", "R") for f in states) + ")")       # noqa: E731
+    step = f"""SELECT conv, rn + 1 AS rn, {more('f0', 3, 'D')} AS f0, least({more('fs', 3, 'D')}, {keep('s', 'f0')}) AS fs,
+        least({more('fu', 3, 'D')}, {rerole('f0', 'fs', 'fa')}, {keep('u', 'f0', 'fs', 'fa')}) AS fu,
+        least({more('fa', 3, 'D')}, {rerole('fu')}, {keep('a', 'fu')}) AS fa
+      FROM ({insert(insert("SELECT d.*, m.code FROM best d JOIN marks m ON m.conv = d.conv AND m.rn = d.rn + 1"))})"""
+    bit = "xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384::BIGINT ELSE 0 END)"
+    crc = f"""xor(list_reduce(list_transform(string_split(k, ''), lambda c: ascii(c)::BIGINT), lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: {bit}), 4294967295::BIGINT), 4294967295::BIGINT)"""
+    return rf"""
+WITH RECURSIVE keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, dense_rank() OVER (ORDER BY conv_id) AS conv,
+    coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+rolled AS (SELECT *, {crc} % 20 AS how FROM keyed),
+spoilt AS (
+  SELECT conv, turn, CASE how WHEN 4 THEN 'user' ELSE role END AS role, CASE how WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM (SELECT *, unnest(range(CASE how WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) FROM rolled)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, text) AS rn FROM spoilt),
+faults AS (
+  SELECT *, CASE WHEN left(role, 1) IN ('s', 'u', 'a') THEN left(role, 1) ELSE 'x' END AS initial,
+    CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv, role, text ORDER BY rn) > 1 THEN 'duplicate'
+      WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault FROM placed),
+marks AS (
+  SELECT *, CASE WHEN fault IN ('blank', 'duplicate') THEN 'd' WHEN fault = 'truncated' THEN upper(initial) ELSE initial END AS code,
+    coalesce(lag(initial) OVER (PARTITION BY conv ORDER BY rn) || initial NOT IN ('su', 'ua', 'au'), false) AS illegal FROM faults),
+best AS (
+  SELECT DISTINCT conv, 0::BIGINT AS rn, '0000000000' AS f0, '{far}' AS fs, '{far}' AS fu, '{far}' AS fa FROM marks
+  UNION ALL {step}),
+audits AS (
+  SELECT conv, left(f, 10)::BIGINT AS cost, substr(f, 11) AS audit FROM (
+    SELECT conv, least(f0, fa, {more('fu', 2, 'I')}, {more('fs', 4, 'II')}) AS f FROM best QUALIFY row_number() OVER (PARTITION BY conv ORDER BY rn DESC) = 1)),
+replay AS (
+  SELECT conv, audit, 0::BIGINT AS spot, 0::BIGINT AS rn, '' AS state, []::VARCHAR[] AS done FROM audits
+  UNION ALL
+  SELECT conv, audit, spot + 1, rn, CASE edit WHEN 'D' THEN state WHEN 'K' THEN left(role, 1) ELSE left(need, 1) END,
+    CASE edit WHEN 'D' THEN done WHEN 'I' THEN list_append(done, need || ':') WHEN 'R' THEN list_append(done, need || ':' || text) ELSE list_append(done, role || ':' || text) END
+  FROM (
+    SELECT p.conv, p.audit, p.spot, p.edit, p.need, p.state, p.done, p.rn + (p.edit <> 'I')::BIGINT AS rn, m.role, m.text
+    FROM (SELECT *, substr(audit, spot::INT + 1, 1) AS edit, CASE state WHEN 'u' THEN 'assistant' ELSE 'user' END AS need FROM replay WHERE spot < length(audit)) p
+    LEFT JOIN marks m ON m.conv = p.conv AND m.rn = p.rn + 1)),
+texts AS (SELECT conv, array_to_string(done, chr(10)) AS repaired FROM replay WHERE spot = length(audit)),
+counts AS (
+  SELECT conv, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank,
+    count(*) FILTER (WHERE fault = 'duplicate') AS duplicate, count(*) FILTER (WHERE fault = 'truncated') AS truncated, count(*) FILTER (WHERE illegal) AS illegal
+  FROM marks GROUP BY conv)
+SELECT i.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(repaired, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, conv FROM keyed) i LEFT JOIN counts USING (conv) LEFT JOIN audits USING (conv) LEFT JOIN texts USING (conv)
+"""
+
+
+DIGEST_SQL = _sql()

@@ -76,6 +76,7 @@ QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_best_fit_packing, op3_n
 
 ORACLE = {
     "op11_fill_in_middle": fim.DIGEST_SQL,
+    "op13_conversation_repair": conversations.DIGEST_SQL,
     "op4_quality_rules": "WITH " + rules.LEDGER_CTES.format(src="documents") + f"""
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failures & {rules.BASE.mask}) <> 0 AS base_failed,
   (failures & {rules.CURRENT.mask}) = 0 AS kept, failures FROM ({rules.LEDGER_SQL})

@@ -176,6 +176,19 @@ def test_repair(spark, monkeypatch, bits):
     assert sorted(map(tuple, conversations.digest(talk(spark, rows)).select(*COLUMNS).collect()), key=key) == sorted(repair_model(rows), key=key)
 
 
+def test_sql_of_the_repair_equals_the_model():
+    import duckdb
+    import pandas as pd
+
+    rows = [r for r in talks(3, 120, 150)]
+    columns = list(zip(*rows))
+    kinds = ("Int64", "Int64", object, object)
+    con = duckdb.connect()
+    con.register("conversations", pd.DataFrame({n: pd.Series(c, dtype=k) for n, c, k in zip(("conv_id", "turn", "role", "text"), columns, kinds)}))
+    key = lambda r: (r[0] is None, r)       # noqa: E731
+    assert sorted(con.execute(f"SELECT {', '.join(COLUMNS)} FROM ({conversations.DIGEST_SQL})").fetchall(), key=key) == sorted(repair_model(rows), key=key)
+
+
 def test_repair_of_nothing(spark):
     assert conversations.digest(talk(spark, [(1, 1, "user", "a.")]).where("false")).count() == 0
     gone = next(i for i in range(1000) if zlib.crc32(f"{i}:0".encode()) % 20 == 0)
