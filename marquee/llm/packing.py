@@ -24,17 +24,19 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from threading import Timer
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import cut_lineage
-from .workers import tidied
+from .workers import give_back
 
 CAPACITY = 2048
 END = 0                     # the id after every document
-WORDS = 300_000             # chunks whose ids a worker keeps (some 200 bytes each), the first it meets; others are encoded each time
+WORDS = 800_000             # chunks whose ids a worker keeps (some 200 bytes each), the first it meets; others are encoded each time
+IDLE = 3.0                  # seconds after its last task until it drops them
 LONGEST = 48                # characters of a chunk that is kept
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Before a space that a character other than white space follows the tokenizer always splits.
@@ -50,6 +52,22 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.timer: Timer | None = None
+
+    def in_use(self) -> Encoder:
+        if self.timer:
+            self.timer.cancel()
+        return self
+
+    def leave(self) -> None:
+        """Drop what is kept unless another task comes soon: a worker outlives its stage, and the next one needs the memory."""
+        def forget() -> None:
+            self.known = {}
+            give_back()
+
+        self.timer = Timer(IDLE, forget)
+        self.timer.daemon = True
+        self.timer.start()
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -82,22 +100,28 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFr
     """doc_id, piece, start, length and ids_crc32 of the pieces of every row. ``vocabulary``: path of the tokenizer."""
     end = np.array([END], "<u4").tobytes()
 
+    def cut(held: Encoder, b: pa.RecordBatch) -> pa.RecordBatch:
+        out: list[tuple] = []
+        for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text")):
+            ids = memoryview(held.encode(text.as_py() or "") + end)
+            n = len(ids) // 4
+            at, stop = 0, n % capacity or capacity
+            while at < n:
+                out.append((doc_id, (at + capacity - 1) // capacity, at, stop - at, zlib.crc32(ids[4 * at : 4 * stop])))
+                at, stop = stop, stop + capacity
+        cols = list(zip(*out)) if out else [[]] * 5
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary).encode
-        for b in batches:
-            out: list[tuple] = []
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text")):
-                ids = memoryview(encode(text.as_py() or "") + end)
-                n = len(ids) // 4
-                at, stop = 0, n % capacity or capacity
-                while at < n:
-                    out.append((doc_id, (at + capacity - 1) // capacity, at, stop - at, zlib.crc32(ids[4 * at : 4 * stop])))
-                    at, stop = stop, stop + capacity
-            cols = list(zip(*out)) if out else [[]] * 5
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
-
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(tidied(run), PIECES)
+        held = encoder(vocabulary).in_use()
+        try:
+            for b in batches:
+                yield cut(held, b)
+        finally:
+            held.leave()
+
+    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, PIECES)
 
 
 def sweeps(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
