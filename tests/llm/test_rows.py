@@ -85,15 +85,53 @@ def test_rules_keep_columns_and_clean_rows(spark):
     assert all(len(words(r.text)) >= 10 for r in kept.collect())
 
 
-def test_sharding_laws(spark):
-    rows = [(k, t, s) for k, (_, t, s) in enumerate(awkward(8))]
-    out = sharding.by_bytes(frame(spark, rows), 4).collect()
-    assert len(out) == len(rows)
-    slots = defaultdict(list)
+def _shards(spark, rows, shards, **limits):
+    """The rows of ``by_bytes``, compared with the texts: sizes, checksums, gapless slots, whole groups, level shards."""
+    out = sharding.by_bytes(frame(spark, rows), shards, **limits).collect()
+    bare = [(r[0], (r[1] or "").encode()) for r in rows]
+    facts = Counter((i, len(t) + 16, zlib.crc32(t)) for i, t in bare)
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in out) == facts
+    slots, loads, groups, where = defaultdict(list), Counter(), Counter(), defaultdict(set)
     for r in out:
         slots[r.shard].append(r.slot)
+        loads[r.shard] += r.size
+        groups[r.text_crc32] += r.size
+        where[r.text_crc32].add(r.shard)
+    assert set(slots) <= set(range(shards))
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    share = sum(loads.values()) / shards
+    assert all(len(where[g]) == 1 for g, size in groups.items() if size <= share)
+    largest = max([r.size for r in out] + [size for size in groups.values() if size <= share])
+    assert max(loads.values()) <= share + largest
+    return loads, share, where
+
+
+def test_sharding_laws(spark):
+    _shards(spark, [(k, t, s) for k, (_, t, s) in enumerate(awkward(8))], 4)
     assert sharding.by_bytes(empty(spark), 4).count() == 0
+    _shards(spark, awkward(9), 3)                   # repeated and null ids
+    _shards(spark, awkward(9), 40)                  # shares smaller than a text
+
+
+@pytest.mark.parametrize("hot", ["", None, "one text that stands on a third of the rows " * 3])
+def test_sharding_of_a_hot_text(spark, hot):
+    rows = [(i, f"text {i} " + "filler " * (i * 37 % 90), "s") for i in range(1200)]
+    rows += [(5000 + i if i % 2 else None, hot, "s") for i in range(600)]
+    rows += [(9000 + i, "a pair of long ones " * 60, "s") for i in range(2)]
+    loads, share, _ = _shards(spark, rows, 8, ranges=16, full=50)
+    assert max(loads.values()) - min(loads.values()) <= share / 20
+    # no slice of the order that one task sorts is much above the bound
+    keyed = sharding.sized(frame(spark, rows))
+    crowded = keyed.groupBy("k1", "text_crc32").count().where("count > 50").collect()
+    own = sharding._own_ranges(spark, [(r.k1, r.text_crc32, None, -(-r["count"] // 50)) for r in crowded])
+    placed = sharding._placed(keyed, own, sharding.splitters(keyed, 2), 50)
+    assert max(r["count"] for r in placed.groupBy("own", "range", "part").count().collect()) < 150
+
+
+def test_rooms_level_the_shards():
+    assert sharding._room([0, 0, 0], 30) == [10, 10, 10]
+    assert sharding._room([9, 2, 4], 8) == [0, 5, 3]
+    assert sharding._room([50, 0], 10) == [0, 10]
 
 
 def test_mix_meets_targets(spark):
