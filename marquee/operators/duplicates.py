@@ -64,7 +64,9 @@ def _tile_best(tiles: pd.Series, floors: pd.Series) -> pd.DataFrame:
     place = {c: i for i, c in enumerate(SYMBOLS)}
 
     def best(items, floor: float) -> tuple[float, int]:
-        rows = sorted(((i["order"], i["title"], i["side"]) for i in items), key=lambda r: r[0])
+        rows = sorted(((i["order"], i["title"], i["side"]) for i in items), key=lambda r: (r[0] is not None, *r))
+        if len(rows) == 2 and not floor:  # most nights: nothing to choose from
+            return max(floor, _ratio(rows[0][1], rows[1][1])), 1
         bags = np.zeros((len(rows), len(SYMBOLS)), np.int32)
         for i, (_, title, _) in enumerate(rows):
             for c in title:
@@ -161,13 +163,14 @@ def cluster_scores(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     """The strongest title similarity per (venue, date), from 0 to 1.
 
     Titles are first reduced to distinct forms. A form held by two rows settles its
-    night at 1 without any comparison, so copies cost nothing. The remaining titles are
-    searched for their best pair by bounds (:func:`best_pairs`).
+    night at 1 without any comparison, so copies cost nothing. A night of at most ``block``
+    forms is one tile; the titles of larger ones are searched for their best pair by
+    bounds (:func:`best_pairs`). The forms are written once, so ``rows`` is read once.
     """
     night = NIGHT
-    forms = (
+    forms = cut_lineage(
         rows.groupBy(*night, similarity_form("name").alias("title"))
-        .agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("order"))
+        .agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("order")), "night-forms",
     )
     summary = forms.groupBy(*night).agg(
         F.max((F.col("title") != "") & (F.col("n") > 1)).alias("_equal"),
@@ -176,16 +179,23 @@ def cluster_scores(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     settled = summary.where(F.col("_equal") | (F.col("_forms") < 2)).select(
         *night, F.when(F.col("_equal"), 1.0).otherwise(0.0).alias("score")
     )
-    open_nights = summary.where(~F.col("_equal") & (F.col("_forms") >= 2)).select(*night)
-    titles = cut_lineage(forms.where(F.col("title") != "").join(open_nights, night).select(*night, "order", "title"), "night-titles")
-    return settled.unionByName(best_pairs(titles, block).select(*night, F.col("best").alias("score")))
+    open_nights = summary.where(~F.col("_equal") & (F.col("_forms") >= 2)).select(*night, "_forms")
+    titles = cut_lineage(forms.where(F.col("title") != "").join(open_nights, night).select(*night, "order", "title", "_forms"), "night-titles")
+    small, large = titles.where(F.col("_forms") <= block), titles.where(F.col("_forms") > block).drop("_forms")
+    tiles = small.groupBy(*night).agg(F.collect_list(F.struct("order", "title", F.lit(0).alias("side"))).alias("_titles"))
+    scores = settled.unionByName(tiles.select(*night, _tile_best("_titles", F.lit(0.0))["best"].alias("score")))
+    if large.isEmpty():
+        return scores
+    return scores.unionByName(best_pairs(large, block).select(*night, F.col("best").alias("score")))
 
 
 def review_clusters(listings: DataFrame, as_of: dt.date, future_only: bool = True) -> DataFrame:
     """Nights to review: score, whether every unfolded row is approved, and sizes."""
     floor = as_of if future_only else revision_floor(as_of)
     near = listings.where(F.col("date") >= F.lit(floor))
-    live = unfolded(near).join(crowded_nights(near).select("venue_id", "date"), ["venue_id", "date"])
+    # what is asked of a row, written once: nights, facts and scores are all taken from it
+    near = cut_lineage(unfolded(near).select("id", "venue_id", "date", "name", "approved_at", "duplicate_of_id"), "near")
+    live = near.join(crowded_nights(near).select("venue_id", "date"), ["venue_id", "date"])
     facts = live.groupBy("venue_id", "date").agg(
         F.bool_and(F.col("approved_at").isNotNull()).alias("all_approved"), F.count(F.lit(1)).alias("unfolded_rows")
     )
