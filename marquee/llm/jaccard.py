@@ -12,11 +12,12 @@ joins nothing unless it is nearly all they have. Frequencies are counts of hashe
 all rows in a fixed number of counters; they set the order only, and any order is right.
 
 Candidates are pairs that meet in a column; a pair is dropped where its places in the column
-leave less than its sizes require, or where sketches of the two rows differ in more bits than
-their sizes allow. The overlap of the others is accumulated exactly. Only
+leave less than its sizes require, or where sketches of the two rows (parities of counters)
+differ in more bits than their sizes allow. The overlap of the others is accumulated exactly. Only
 links that can join components are multiplied: each row of a column with the column's first
-one and with its neighbour, then the pairs of a column whose rows still belong to different
-components. Copies and sets that are equal are one node.
+one and with its neighbour, then in rounds with a few hubs of its column, then the pairs of a
+column whose rows still belong to different components. So a large family of near copies meets
+its hubs, not itself. Copies and sets that are equal are one node.
 
 Defined results: a null or blank text has an empty set and links with nothing; a text of
 fewer than n words has one n-gram, itself; repeated rows and equal sets share a component;
@@ -44,7 +45,8 @@ LEAST, MOST = 85, 100       # link: MOST * |x & y| >= LEAST * |x | y|
 CHUNK = 1 << 20             # bytes hashed at once
 ROWS = 256                  # texts whose sets are held at once
 COUNTERS = 1 << 21          # of frequencies: 8 MB, on the driver and each executor
-BITS = 512                  # of the sketch of a set
+BITS, WIDE = 512, 2048      # of the sketch of a set, and of the second one of a set of over BITS
+HUBS, ROUNDS = 6, 2         # hubs of a column in a round, and rounds of them
 COUNTED = 1 << 12           # counters that travel as one row
 U = np.uint64
 
@@ -197,12 +199,10 @@ def _utf8(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def sketch(grams: np.ndarray) -> np.ndarray:
-    """BITS bits, each set if an n-gram of the set falls on it. Sets differ in at least as many n-grams as these in bits."""
-    at = (_mix(grams) >> U(8)) & U(BITS - 1)
-    out = np.zeros(BITS, bool)
-    out[at.astype(np.int64)] = True
-    return np.packbits(out, bitorder="little").view(np.uint64)
+def sketch(grams: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """For each of ``bits`` counters whether an odd number of n-grams falls on it. Sets differ in at least as many n-grams as these in bits."""
+    at = (_mix(grams) >> U(8)) & U(bits - 1)
+    return np.packbits((np.bincount(at.astype(np.int64), minlength=bits) & 1).astype(bool), bitorder="little").view(np.uint64)
 
 
 def _text_hash() -> Column:
@@ -210,26 +210,27 @@ def _text_hash() -> Column:
 
 
 def described(docs: DataFrame, link: Link = LINK) -> DataFrame:
-    """doc_id, h (of the text), n (set size), node (its set; null if empty), sigs and bits (of the first row of a node in its task)."""
+    """doc_id, h (of the text), n (set size), node (its set; null if empty), sigs, bits and wide (of the first row of a node in its task)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _text_hash().alias("h"))
     counts = docs.sparkSession.sparkContext.broadcast(frequencies(rows.select("text"), link))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()      # a set that the task has met emits nothing again
         for b in batches:
-            nodes, sizes, sigs, bits = [], [], [], []
+            nodes, sizes, sigs, bits, wide = [], [], [], [], []
             for g in _sets_of(b, link.n):
                 node = _node(g)
                 nodes.append(node if len(g) else None)
                 sizes.append(len(g))
                 sigs.append(np.zeros(0, np.int64) if node in seen else rarest(g, counts.value, link).view(np.int64))
                 bits.append(None if node in seen or len(g) < link.smallest else sketch(g).view(np.int64))
+                wide.append(None if bits[-1] is None or len(g) <= BITS else sketch(g, WIDE).view(np.int64))
                 seen.add(node)
             ends = np.concatenate(([0], np.cumsum([len(s) for s in sigs]))).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sigs) if sigs else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), lists, pa.array(bits, pa.list_(pa.int64()))], names=["doc_id", "h", "n", "node", "sigs", "bits"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), lists, *(pa.array(x, pa.list_(pa.int64())) for x in (bits, wide))], names=["doc_id", "h", "n", "node", "sigs", "bits", "wide"])
 
-    return cut_lineage(rows.mapInArrow(tidied(run), "doc_id long, h long, n long, node long, sigs array<long>, bits array<long>"), "gram-sets")
+    return cut_lineage(rows.mapInArrow(tidied(run), "doc_id long, h long, n long, node long, sigs array<long>, bits array<long>, wide array<long>"), "gram-sets")
 
 
 def _runs(batches: Iterator[pa.RecordBatch], link: Link) -> Iterator[pa.RecordBatch]:
@@ -280,25 +281,25 @@ def _may_link(n: str, at: str, n2: str, at2: str, link: Link) -> Column:
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame, link: Link = LINK) -> DataFrame:
-    """node, grams (sorted hashes as bytes), once for each of ``nodes``.
+    """node, grams (sorted hashes as bytes), once for each of ``nodes`` (node, and h of a text that has it).
 
-    A bitmap of fixed size spares most other texts the shuffle; the join after it is exact.
+    A bitmap of fixed size spares most other texts the work and the shuffle; the join after it is exact.
     """
-    may_hold = bitmap(nodes)
+    may_hold = bitmap(nodes.select("h"))
 
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for b in (whole.slice(start, ROWS) for whole in batches for start in range(0, len(whole), ROWS)):
-            grams = [g for g in _sets_of(b, link.n) if len(g)]
-            found = [_node(g) for g in grams]
+            b = b.filter(pa.array(may_hold(b.column("h").to_numpy())))
             out: dict[int, bytes] = {}
-            for g, node, may in zip(grams, found, may_hold(np.array(found, np.int64))):
-                if may and node not in seen:
+            for g in _sets_of(b, link.n):
+                node = _node(g)
+                if len(g) and node not in seen:
                     seen.add(node)
                     out[node] = g.tobytes()
             yield pa.RecordBatch.from_arrays([pa.array(out.keys(), pa.int64()), pa.array(out.values(), pa.binary())], names=["node", "grams"])
 
-    every = docs.selectExpr("cast(text as string) text").mapInArrow(tidied(chosen), "node long, grams binary")
+    every = docs.select(F.col("text").cast("string").alias("text"), _text_hash().alias("h")).mapInArrow(tidied(chosen), "node long, grams binary")
     return cut_lineage(every.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "gram-columns")
 
 
@@ -317,22 +318,28 @@ def _product(batches: Iterator[pa.RecordBatch], link: Link) -> Iterator[pa.Recor
         yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _bits_allow(n: Column, n2: Column, bits: str, bits2: str, link: Link) -> Column:
-    """Linked sets differ in at most 15 of 185 (at the bound 85) of their sizes, so no more bits of their sketches do."""
-    apart = sum((F.bit_count(F.get(bits, F.lit(i)).bitwiseXOR(F.get(bits2, F.lit(i)))) for i in range(BITS // 64)), F.lit(0))
-    return (MOST + link.least) * apart <= (MOST - link.least) * (n + n2)
+def _bits_allow(n: Column, n2: Column, ending: str, link: Link) -> Column:
+    """Linked sets differ in at most 15 of 185 (at the bound 85) of their sizes, so no more bits of their sketches do.
+
+    The columns of the second set have ``ending`` in their names. Without a second sketch of both the first one decides.
+    """
+    apart = sum((F.bit_count(F.get("bits", F.lit(i)).bitwiseXOR(F.get("bits" + ending, F.lit(i)))) for i in range(BITS // 64)), F.lit(0))
+    further = F.aggregate(F.zip_with("wide", "wide" + ending, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
+    most = (MOST - link.least) * (n + n2)
+    return ((MOST + link.least) * apart <= most) & F.coalesce((MOST + link.least) * further <= most, F.lit(True))
 
 
 def _plausible(pairs: DataFrame, sketches: DataFrame, link: Link) -> DataFrame:
     """The pairs whose sketches do not rule a link out."""
-    both = pairs.join(sketches.toDF("a", "na", "ba"), "a").join(sketches.toDF("b", "nb", "bb"), "b")
-    return both.where(_bits_allow(F.col("na"), F.col("nb"), "ba", "bb", link)).select("a", "b")
+    one = sketches.select(F.col("node").alias("a"), "n", "bits", "wide")
+    two = sketches.select(F.col("node").alias("b"), *(F.col(c).alias(c + "2") for c in ("n", "bits", "wide")))
+    return pairs.join(one, "a").join(two, "b").where(_bits_allow(F.col("n"), F.col("n2"), "2", link)).select("a", "b")
 
 
-def products(docs: DataFrame, pairs: DataFrame, link: Link = LINK) -> DataFrame:
-    """The pairs (a, b) of ``pairs``, a written table, that link."""
+def products(docs: DataFrame, pairs: DataFrame, sketches: DataFrame, link: Link = LINK) -> DataFrame:
+    """The pairs (a, b) of ``pairs``, a written table, that link. ``sketches`` holds node and h."""
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = sets_of(docs, nodes, link)
+    sets = sets_of(docs, cut_lineage(sketches.select("node", "h").join(nodes, "node", "left_semi"), "gram-nodes"), link)
     wide = pairs.join(sets.toDF("b", "y"), "b").join(sets.toDF("a", "x"), "a").select("a", "b", "x", "y")
     return cut_lineage(wide.mapInArrow(tidied(lambda batches: _product(batches, link)), "a long, b long"), "gram-links")
 
@@ -341,33 +348,63 @@ def _pair(x: str, y: str) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
+def _mixed(members: DataFrame, found: DataFrame) -> DataFrame:
+    """sig, node, n, at and c, the component, of the columns that hold several components."""
+    named = members.join(found, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
+    mixed = named.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("sig")
+    return named.join(mixed, "sig").select("sig", "node", "n", "at", "c")
+
+
+def _near(link: Link) -> Column:
+    return _may_link("n", "at", "n2", "at2", link) & _bits_allow(F.col("n"), F.col("n2"), "2", link)
+
+
+def to_hubs(rest: DataFrame, seed: int, link: Link) -> DataFrame:
+    """Pairs of each row of a column with the column's hubs: in each band of sizes the nodes that HUBS hashes put first."""
+    kinds = ("node", "n", "at", "c", "bits", "wide")
+    band = F.floor(F.log(F.col("n").cast("double")) / np.log(MOST / link.least))
+    place = Window.partitionBy("sig", "band")
+    hubs = F.array(*(F.min_by(F.struct(*kinds), F.xxhash64("node", F.lit(seed + i))).over(place) for i in range(HUBS)))
+    each = rest.withColumn("band", band).withColumn("hubs", hubs).withColumn("hub", F.explode(F.array_distinct("hubs")))
+    each = each.select(*kinds, *(F.col("hub")[c].alias(c + "2") for c in kinds))
+    return each.where((F.col("c") != F.col("c2")) & _near(link)).select(*_pair("node", "node2")).distinct()
+
+
 def node_components(docs: DataFrame, book: DataFrame, link: Link = LINK) -> DataFrame:
     """node, component: of the nodes that link with another one."""
     met = runs(book, link)
-    sketches = cut_lineage(book.where("bits is not null").groupBy("node").agg(F.first("n").cast("int").alias("n"), F.first("bits").alias("bits")), "gram-bits")
+    one = [F.min("h").alias("h"), F.first("n").cast("int").alias("n"), F.first("bits").alias("bits"), F.first("wide").alias("wide")]
+    sketches = cut_lineage(book.where("bits is not null").groupBy("node").agg(*one), "gram-bits")
     by_first = met.where(_may_link("n", "at", "first_n", "first_at", link)).groupBy("node", "first").count()
     # a run's first node, most shared columns first: one likely partner of each node
     likely = by_first.groupBy("node").agg(F.max_by("first", "count").alias("first")).select(*_pair("node", "first")).distinct()
-    links = products(docs, cut_lineage(_plausible(likely, sketches, link), "gram-likely"), link)
-    # neighbours in a run that are still apart
-    beside = met.where(_may_link("n", "at", "prev_n", "prev_at", link)).select(*_pair("node", "prev")).distinct()
+    tried = cut_lineage(_plausible(likely, sketches, link), "gram-likely")
+    links = products(docs, tried, sketches, link)
     found = components(links)
-    apart = cut_lineage(_plausible(_apart(beside, found).join(likely, ["a", "b"], "left_anti"), sketches, link), "gram-apart")
-    if not apart.isEmpty():
-        links = links.unionByName(products(docs, apart, link))
-        found = components(links)
-    # what remains: all members of a column whose sets are in several components
-    named = _members(met).join(found, "node", "left").withColumn("c", F.coalesce("component", "node"))
-    mixed = named.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("sig")
-    rest = named.join(mixed, "sig").select("sig", "node", "n", "at", "c").join(sketches.select("node", "bits"), "node")
-    rest = cut_lineage(rest, "gram-mixed")
-    other = rest.select("sig", *(F.col(c).alias(c + "2") for c in ("node", "n", "at", "c", "bits")))
-    near = _may_link("n", "at", "n2", "at2", link) & _bits_allow(F.col("n"), F.col("n2"), "bits", "bits2", link)
-    left = rest.join(other, "sig").where((F.col("c") < F.col("c2")) & near).select(*_pair("node", "node2")).distinct()
-    left = cut_lineage(left.join(likely, ["a", "b"], "left_anti").join(apart, ["a", "b"], "left_anti"), "gram-rest")
-    if not left.isEmpty():
-        links = links.unionByName(products(docs, left, link))
+
+    def joined(pairs: DataFrame, label: str) -> bool:
+        """Multiplies the pairs not yet tried. False if there are none."""
+        nonlocal tried, links, found
+        new = cut_lineage(pairs.join(tried, ["a", "b"], "left_anti"), label)
+        if new.isEmpty():
+            return False
+        tried = tried.unionByName(new)
+        links = links.unionByName(products(docs, new, sketches, link))
         found = components(links)
+        return True
+
+    # neighbours in a run that are still apart
+    beside = met.where(_may_link("n", "at", "prev_n", "prev_at", link)).select(*_pair("node", "prev")).distinct()
+    joined(_plausible(_apart(beside, found), sketches, link), "gram-apart")
+    # what remains: the columns whose sets are in several components, first with hubs, then all members
+    rest = cut_lineage(_mixed(_members(met), found).join(sketches.select("node", "bits", "wide"), "node"), "gram-mixed")
+    for k in range(ROUNDS):
+        if not joined(to_hubs(rest, HUBS * k, link), "gram-hubs"):
+            break
+        again = _mixed(rest.select("sig", "node", "n", "at"), found)
+        rest = cut_lineage(again.join(sketches.select("node", "bits", "wide"), "node"), "gram-mixed")
+    other = rest.select("sig", *(F.col(c).alias(c + "2") for c in ("node", "n", "at", "c", "bits", "wide")))
+    joined(rest.join(other, "sig").where((F.col("c") < F.col("c2")) & _near(link)).select(*_pair("node", "node2")).distinct(), "gram-rest")
     return found
 
 

@@ -233,3 +233,49 @@ def test_components_at_other_bounds_equal_brute_force(spark, n, least):
         low[g] = min([x for x in (low.get(g), i) if x is not None], default=None)
     want = sorted(((i, len(s), low[g]) for (i, _, _), s, g in zip(rows, sets, of)), key=lambda r: tuple((x is None, x) for x in r))
     assert collected(jaccard.linked(frame(spark, rows), n, least), "doc_id", "n_shingles", "component_id") == want
+
+
+def multiplied(monkeypatch):
+    """The pairs whose sets are multiplied from now on."""
+    seen, products = [], jaccard.products
+
+    def noted(docs, pairs, *rest):
+        seen.extend(map(tuple, pairs.collect()))
+        return products(docs, pairs, *rest)
+
+    monkeypatch.setattr(jaccard, "products", noted)
+    return seen
+
+
+def lows(rows):
+    _, of = groups(rows)
+    low = {}
+    for (i, _, _), g in zip(rows, of):
+        low[g] = min(low.get(g, i), i)
+    return {i: low[g] for (i, _, _), g in zip(rows, of)}
+
+
+def test_a_family_of_near_copies_meets_its_hubs_only(spark, monkeypatch):
+    r = random.Random(31)
+    base = [f"w{i}" for i in range(300)]
+    rows = []
+    for i in range(120):
+        at = {r.randrange(300) for _ in range(r.randint(1, 6))}
+        rows.append((i, " ".join(f"e{i}x{k}" if k in at else w for k, w in enumerate(base)), "a"))
+    seen = multiplied(monkeypatch)
+    got = {x.doc_id: x.component_id for x in jaccard.linked(frame(spark, rows)).collect()}
+    assert got == lows(rows)
+    assert len(seen) == len(set(seen)) < 120 * 119 // 2 / 4
+
+
+def test_sketches_tell_long_sets_apart(spark, monkeypatch):
+    r = random.Random(32)
+    pool = [" ".join(f"p{k}w{r.randrange(10 ** 6)}" for _ in range(100)) for k in range(60)]
+    rows = [(i, " ".join(r.sample(pool, 30)), "a") for i in range(24)]
+    words_ = rows[0][1].split()
+    words_[1500] = "edited"
+    rows.append((24, " ".join(words_), "a"))
+    seen = multiplied(monkeypatch)
+    got = {x.doc_id: x.component_id for x in jaccard.linked(frame(spark, rows)).collect()}
+    assert got == lows(rows) == {i: i % 24 for i in range(25)}
+    assert len(seen) == 1
