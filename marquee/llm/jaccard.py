@@ -15,7 +15,7 @@ Candidates are pairs that meet in a column; a pair is dropped where its places i
 leave less than its sizes require, or where sketches of the two rows (parities of counters)
 differ in more bits than their sizes allow. The overlap of the others is accumulated exactly. Only
 links that can join components are multiplied: each row of a column with the column's first
-one and with its neighbour, then in rounds with a few hubs of its column, then the pairs of a
+one and with its neighbour, then with a few hubs of a crowded column, then the pairs of a
 column whose rows still belong to different components. So a large family of near copies meets
 its hubs, not itself. Copies and sets that are equal are one node.
 
@@ -46,7 +46,7 @@ CHUNK = 1 << 20             # bytes hashed at once
 ROWS = 256                  # texts whose sets are held at once
 COUNTERS = 1 << 21          # of frequencies: 8 MB, on the driver and each executor
 BITS, WIDE = 512, 2048      # of the sketch of a set, and of the second one of a set of over BITS
-HUBS, ROUNDS = 6, 2         # hubs of a column in a round, and rounds of them
+HUBS = 12                   # of a column and a band of sizes; columns of up to twice as many rows need none
 COUNTED = 1 << 12           # counters that travel as one row
 U = np.uint64
 
@@ -349,23 +349,23 @@ def _pair(x: str, y: str) -> list:
 
 
 def _mixed(members: DataFrame, found: DataFrame) -> DataFrame:
-    """sig, node, n, at and c, the component, of the columns that hold several components."""
+    """sig, node, n, at, c (the component) and rows (of the column), of the columns that hold several components."""
     named = members.join(found, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
-    mixed = named.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("sig")
-    return named.join(mixed, "sig").select("sig", "node", "n", "at", "c")
+    mixed = named.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("rows")).where("low <> high").select("sig", "rows")
+    return named.join(mixed, "sig").select("sig", "node", "n", "at", "c", "rows")
 
 
 def _near(link: Link) -> Column:
     return _may_link("n", "at", "n2", "at2", link) & _bits_allow(F.col("n"), F.col("n2"), "2", link)
 
 
-def to_hubs(rest: DataFrame, seed: int, link: Link) -> DataFrame:
-    """Pairs of each row of a column with the column's hubs: in each band of sizes the nodes that HUBS hashes put first."""
+def to_hubs(rest: DataFrame, link: Link) -> DataFrame:
+    """Pairs of each row of a crowded column with the column's hubs: in each band of sizes the nodes that HUBS hashes put first."""
     kinds = ("node", "n", "at", "c", "bits", "wide")
     band = F.floor(F.log(F.col("n").cast("double")) / np.log(MOST / link.least))
     place = Window.partitionBy("sig", "band")
-    hubs = F.array(*(F.min_by(F.struct(*kinds), F.xxhash64("node", F.lit(seed + i))).over(place) for i in range(HUBS)))
-    each = rest.withColumn("band", band).withColumn("hubs", hubs).withColumn("hub", F.explode(F.array_distinct("hubs")))
+    hubs = F.array(*(F.min_by(F.struct(*kinds), F.xxhash64("node", F.lit(i))).over(place) for i in range(HUBS)))
+    each = rest.where(F.col("rows") > 2 * HUBS).withColumn("band", band).withColumn("hubs", hubs).withColumn("hub", F.explode(F.array_distinct("hubs")))
     each = each.select(*kinds, *(F.col("hub")[c].alias(c + "2") for c in kinds))
     return each.where((F.col("c") != F.col("c2")) & _near(link)).select(*_pair("node", "node2")).distinct()
 
@@ -398,9 +398,7 @@ def node_components(docs: DataFrame, book: DataFrame, link: Link = LINK) -> Data
     joined(_plausible(_apart(beside, found), sketches, link), "gram-apart")
     # what remains: the columns whose sets are in several components, first with hubs, then all members
     rest = cut_lineage(_mixed(_members(met), found).join(sketches.select("node", "bits", "wide"), "node"), "gram-mixed")
-    for k in range(ROUNDS):
-        if not joined(to_hubs(rest, HUBS * k, link), "gram-hubs"):
-            break
+    if joined(to_hubs(rest, link), "gram-hubs"):
         again = _mixed(rest.select("sig", "node", "n", "at"), found)
         rest = cut_lineage(again.join(sketches.select("node", "bits", "wide"), "node"), "gram-mixed")
     other = rest.select("sig", *(F.col(c).alias(c + "2") for c in ("node", "n", "at", "c", "bits", "wide")))
