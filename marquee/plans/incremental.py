@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import series_key
-from ..operators.classify import ALWAYS_LIVE_VENUES, reclassify
+from ..operators.classify import ALWAYS_LIVE_VENUES, reclassify, reclassify_written
 from ..operators.filters import revision_floor
 from ..operators.linkage import apply_plan, dedupe_batch, merge_plan, outcome_counts
 from ..operators.series import RECURRENCE_THRESHOLD, occasions
@@ -94,10 +94,11 @@ def refresh_buckets(spark: SparkSession, root: str, version: int, scraped: DataF
     touched = events.of(scraped) if known else set(range(buckets))
     stored = events.read(base, touched if known else None)
     batch = cut_lineage(dedupe_batch(scraped), "batch")
-    plan = cut_lineage(merge_plan(stored, batch, as_of), "plan")
+    plan = merge_plan(stored, batch, as_of)
     table = cut_lineage(apply_plan(stored, batch, plan, now), "applied")
     days = cut_lineage(series_days(table), "days")
-    fresh = judge(table, _recurring(days, floor, threshold)).select(*stored.columns)
+    fresh = reclassify_written(
+        table, as_of, overrides, venues, exempt_slugs=exempt_slugs, threshold=threshold, series=_recurring(days, floor, threshold)).select(*stored.columns)
 
     moved: set[int] = set()
     if known:

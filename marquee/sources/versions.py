@@ -17,7 +17,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import short_key, whole_key
+
 BUCKETS = 64
+SHORT = "id external_id duplicate_of_id hash".split()   # digits or hex for the most part, so they travel packed
 MANIFEST = "bucket int, folder string, buckets int, columns string"
 _MANIFEST_COLUMNS = ["bucket", "folder", "buckets", "columns"]
 
@@ -39,7 +42,7 @@ def versions(spark: SparkSession, root: str) -> list[int]:
 
 def publish(df: DataFrame, root: str, version: int, partition_by: Sequence[str] = ()) -> None:
     """Write one version; repeating a version replaces it with the same rows."""
-    w = df.write.mode("overwrite")
+    w = df.write.mode("overwrite").option("compression", "zstd")
     (w.partitionBy(*partition_by) if partition_by else w).parquet(f"{root}/v={version}")
 
 
@@ -124,7 +127,10 @@ class Buckets:
         folders = {b: at for b, at in kept.folders.items() if b not in changed} if kept else {}
         if changed:
             # a rebalanced shuffle splits a bucket that a hot key fills and joins small ones
-            rows.withColumn("_bucket", self.number()).hint("rebalance", "_bucket").write.partitionBy("_bucket").parquet(f"{self.root}/{made}")
+            short = {f.name: f.dataType for f in rows.schema if f.name in SHORT and f.name != self.by}
+            moved = rows.withColumns({"_bucket": self.number(), **{c: short_key(c, kind) for c, kind in short.items()}}).hint("rebalance", "_bucket")
+            moved = moved.withColumns({c: whole_key(c, kind) for c, kind in short.items()})
+            moved.write.partitionBy("_bucket").option("compression", "zstd").parquet(f"{self.root}/{made}")
             fs, p, _ = _fs(self.spark, f"{self.root}/{made}")
             names = [s.getPath().getName() for s in fs.listStatus(p)]
             folders |= {int(n.split("=")[1]): f"{made}/{n}" for n in names if n.startswith("_bucket=")}

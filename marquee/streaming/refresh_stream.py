@@ -35,7 +35,8 @@ def start_refresh(spark: SparkSession, landing: str, schema: StructType, root: s
         now = dt.datetime.fromisoformat(recorded(spark, f"{root}/clock/b={batch_id}", clock().isoformat()))
         if "scrape" in batch.columns:
             batch = on_time(spark, f"{root}/scrapes", batch, version)
-        rows = cut_lineage(newest_scrape_per_venue(batch), "landed")
+        # What has landed is files already; only what is chosen from several scrapes is written.
+        rows = cut_lineage(newest_scrape_per_venue(batch), "landed") if "scrape" in batch.columns else batch
         done = refresh_buckets(spark, root, version, rows, venues, overrides, now.date(), now)
         if log:
             seen = venues.join(rows.select(F.col("venue_id").alias("id")).distinct(), "id", "left_semi")
